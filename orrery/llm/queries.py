@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.llm import packing, percentiles, rank_fusion, similar_vectors, token_ids, top_per_group, visual_form
+from orrery.llm import density_peaks, packing, percentiles, rank_fusion, similar_vectors, token_ids, top_per_group, visual_form
 from orrery.llm.sql import ORACLES
 from orrery.plans.cut import cut
 from orrery.sources.tables import table
@@ -42,6 +42,18 @@ def p4_top(spark, d):
     return top_per_group.nearest_nodes(table(spark, d, "node_distance"))
 
 
+def _members(spark, d):
+    return density_peaks.clusters(table(spark, d, "float_matrix"), table(spark, d, "graph_edges"))
+
+
+def p5_found(spark, d):
+    return density_peaks.cluster_pairs(_members(spark, d))
+
+
+def p5_clusters(spark, d):
+    return density_peaks.described(cut(_members(spark, d), "members"))
+
+
 def p6_found(spark, d):
     return rank_fusion.ranking(table(spark, d, "score_accum"), by="mean").where(F.col("position") <= 5).select("panel_id", "item_id")
 
