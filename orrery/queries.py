@@ -1,4 +1,23 @@
-"""Named queries of the core operators."""
+"""Named queries of the core operators: name -> (spark, folder of tables) -> DataFrame, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from orrery.operators import schema_drift
+from orrery.sources.tables import table
+
+
+def p3_found(spark, d):
+    return schema_drift.found_changes(table(spark, d, "benchmark_file"), table(spark, d, "benchmark_record"))
+
+
+def p3_changes(spark, d):
+    """Every edit, nested ones too, with its cost."""
+    return schema_drift.changes(schema_drift.files_once(table(spark, d, "benchmark_file")), schema_drift.profiles(schema_drift.records_once(table(spark, d, "benchmark_record"))))
+
+
+def p3_table(spark, d):
+    return schema_drift.consistent_table(table(spark, d, "benchmark_file"), table(spark, d, "benchmark_record"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_changes": p3_changes, "p3_table": p3_table}
+ORACLES: dict[str, str] = {}
