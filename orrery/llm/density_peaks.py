@@ -1,7 +1,7 @@
 """Problem 5: clusters of similar rows by density peaks, with blocked neighbour joins.
 
-The distinct vectors of a dataset are hashed into blocks. Every block is joined with groups of blocks on
-(dataset, block, group): a pair of blocks is one product of two matrices in one task, so the work spreads evenly however
+The distinct vectors of a dataset are hashed into blocks. Every block is joined with every block of its dataset on
+(dataset, block, side): a pair of blocks is one product of two matrices in one task, so the work spreads evenly however
 large a dataset is, and what leaves a task is a few neighbours per row, never the pairs. Pass one gives each row its scale
 (the distance within which three other rows lie; a small scale is a high density), pass two the nearest denser row.
 Pointers to denser rows that are long for the scale of their target are cut; following the others gives trees, and a
@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from orrery.llm.rows import copies, latest_rows
 from orrery.plans.cut import cut
+from orrery.plans.pointers import follow
 from orrery.plans.sizing import heavy_partitions
 
-#: Distinct rows of a block, and blocks of a group: a task holds one block and one group of blocks.
-BLOCK_ROWS, GROUP_BLOCKS = 4096, 4
+#: Distinct rows of a block; a task holds two blocks.
+BLOCK_ROWS = 32_768
 #: Other rows within the scale of a row: a cluster has at least one more.
 NEIGHBOURS = 3
 #: A pointer longer than this many scales of its target leaves the cluster.
@@ -33,76 +34,123 @@ MIN_ROWS = 4
 KEPT = 8
 
 
+CHUNK = 16
+
+
 def _matrix(column) -> np.ndarray:
     a = column.combine_chunks()
-    return np.asarray(a.flatten(), np.float64).reshape(len(a), -1)
+    return np.asarray(a.flatten(), np.float32).reshape(len(a), -1)
+
+
+class _Block:
+    """Squared distances from strips of rows of ``x`` to the rows of ``y``, short of each row's own square.
+
+    One matrix product in single precision per strip; what is chosen by it is measured again in double precision.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        mean = y.mean(0, dtype=np.float64).astype(np.float32)
+        self.x, self.y = x - mean, y - mean
+        self.yt = np.empty((y.shape[1] + 1, len(y)), np.float32)
+        self.yt[:-1] = -2 * self.y.T
+        self.yt[-1] = np.einsum("ij,ij->i", self.y, self.y)
+        self.one = np.concatenate([self.x, np.ones((len(x), 1), np.float32)], 1)
 
+    def rough(self, rows: slice, columns: int) -> np.ndarray:
+        return self.one[rows] @ self.yt[:, :columns]
 
-def _block_distances(x: np.ndarray, y: np.ndarray):
-    """Squared distances by strips of rows of x."""
-    mean = y.mean(0)
-    x, y = x - mean, y - mean
-    y2, yt = (y * y).sum(1), np.ascontiguousarray(y.T)
-    strip = max(16, 2_000_000 // max(1, len(y)))
-    for s in range(0, len(x), strip):
-        p = x[s : s + strip]
-        d2 = p @ yt
-        d2 *= -2
-        d2 += (p * p).sum(1)[:, None]
-        d2 += y2[None]
-        yield s, np.maximum(d2, 0, out=d2)
+    def exact(self, rows: slice, picked: np.ndarray) -> np.ndarray:
+        diff = self.y[picked].astype(np.float64) - self.x[rows, None].astype(np.float64)
+        return np.einsum("bcd,bcd->bc", diff, diff)
+
+
+def _least(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least values of each row: those lie in the k chunks of least minima."""
+    n = d.shape[1]
+    if n <= 4 * CHUNK * k:
+        return np.argpartition(d, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(d), 1))
+    whole = n // CHUNK
+    low = d[:, : whole * CHUNK].reshape(len(d), whole, CHUNK).min(2)
+    at = np.argpartition(low, k - 1, axis=1)[:, :k]
+    cols = (at[:, :, None] * CHUNK + np.arange(CHUNK)).reshape(len(d), -1)
+    if whole * CHUNK < n:
+        cols = np.concatenate([cols, np.tile(np.arange(whole * CHUNK, n), (len(d), 1))], 1)
+    pick = np.argpartition(np.take_along_axis(d, cols, 1), k - 1, axis=1)[:, :k]
+    return np.take_along_axis(cols, pick, 1)
+
+
+def _strips(rows: int, columns: int):
+    step = max(16, 4_000_000 // max(1, columns))
+    return (slice(s, min(rows, s + step)) for s in range(0, rows, step))
 
 
 def _nearest(kept: int):
-    """Of each row of the left block the ``kept`` nearest other rows of the right side, with their copies."""
+    """Of each row of the left block the ``kept`` nearest other rows of the right block, with their copies."""
 
     def run(key, left, right):
         out = {"rep": [], "d2": [], "m": []}
         if left.num_rows and right.num_rows:
-            a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
-            m = right["n_copies"].to_numpy()
-            k = min(kept, len(b))
-            for s, d2 in _block_distances(_matrix(left["v"]), _matrix(right["v"])):
-                d2[a[s : s + len(d2), None] == b[None]] = np.inf
-                pick = np.argpartition(d2, k - 1, axis=1)[:, :k]
-                out["rep"].append(np.repeat(a[s : s + len(d2)], k))
-                out["d2"].append(np.take_along_axis(d2, pick, 1).ravel())
-                out["m"].append(m[pick].ravel())
+            a, b, m = left["rep"].to_numpy(), right["rep"].to_numpy(), right["n_copies"].to_numpy()
+            block, k = _Block(_matrix(left["v"]), _matrix(right["v"])), min(kept, len(b))
+            place = np.argsort(b)
+            for rows in _strips(len(a), len(b)):
+                d = block.rough(rows, len(b))
+                own = place[np.minimum(np.searchsorted(b, a[rows], sorter=place), len(b) - 1)]
+                self_ = np.flatnonzero(b[own] == a[rows])
+                d[self_, own[self_]] = np.inf
+                pick = _least(d, k)
+                d2 = block.exact(rows, pick)
+                ok = np.isfinite(np.take_along_axis(d, pick, 1))
+                out["rep"].append(np.repeat(a[rows], k)[ok.ravel()])
+                out["d2"].append(d2[ok])
+                out["m"].append(m[pick][ok])
         cat = lambda c, t: np.concatenate(out[c]).astype(t) if out[c] else np.zeros(0, t)
-        rep, d2, m = cat("rep", np.int64), cat("d2", np.float64), cat("m", np.int64)
-        ok = np.isfinite(d2)
-        return pa.table({"rep": rep[ok], "d2": d2[ok], "m": m[ok]})
+        return pa.table({"rep": cat("rep", np.int64), "d2": cat("d2", np.float64), "m": cat("m", np.int64)})
 
     return run
 
 
 def _nearest_denser(key, left, right):
-    """Of each row of the left block the nearest denser row of the right side. Density falls with scale, then rep."""
+    """Of each row of the left block the nearest denser row of the right block. Density falls with scale, then rep."""
     out = {"rep": [], "d2": [], "to": []}
     if left.num_rows and right.num_rows:
+        left, right = (t.sort_by([("scale", "ascending"), ("rep", "ascending")]) for t in (left, right))
         a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
-        sa, sb = left["scale"].to_numpy(), right["scale"].to_numpy()
-        for s, d2 in _block_distances(_matrix(left["v"]), _matrix(right["v"])):
-            p, q = sa[s : s + len(d2), None], a[s : s + len(d2), None]
-            d2[~((sb[None] < p) | ((sb[None] == p) & (b[None] < q)))] = np.inf
-            at = d2.argmin(1)
-            out["rep"].append(q[:, 0])
-            out["d2"].append(d2[np.arange(len(d2)), at])
-            out["to"].append(b[at])
+        denser = np.empty(len(a), np.int64)  # how many right rows are denser: they come first
+        order = np.lexsort((np.concatenate([b, a]), np.concatenate([right["scale"].to_numpy(), left["scale"].to_numpy()])))
+        is_right = order < len(b)
+        before = np.cumsum(is_right)
+        denser[order[~is_right] - len(b)] = before[~is_right]
+        # in its own block a row sorts after its twin on the right, which is not denser than itself
+        place = np.argsort(b)
+        twin = place[np.minimum(np.searchsorted(b, a, sorter=place), len(b) - 1)]
+        denser = np.where(b[twin] == a, np.minimum(denser, twin), denser)
+        block = _Block(_matrix(left["v"]), _matrix(right["v"]))
+        for rows in _strips(len(a), len(b)):
+            most = int(denser[rows].max())
+            if not most:
+                continue
+            d = block.rough(rows, most)
+            least = int(denser[rows].min())
+            d[:, least:][np.arange(least, most)[None] >= denser[rows, None]] = np.inf
+            at = d.argmin(1)
+            ok = denser[rows] > 0
+            d2 = block.exact(rows, at[:, None])[:, 0]
+            out["rep"].append(a[rows][ok])
+            out["d2"].append(d2[ok])
+            out["to"].append(b[at][ok])
     cat = lambda c, t: np.concatenate(out[c]).astype(t) if out[c] else np.zeros(0, t)
-    rep, d2, to = cat("rep", np.int64), cat("d2", np.float64), cat("to", np.int64)
-    ok = np.isfinite(d2)
-    return pa.table({"rep": rep[ok], "d2": d2[ok], "to": to[ok]})
+    return pa.table({"rep": cat("rep", np.int64), "d2": cat("d2", np.float64), "to": cat("to", np.int64)})
 
 
 def _blocked(points: DataFrame, columns: list[str], kernel, schema: str) -> DataFrame:
-    """Each block of a dataset with each group of its blocks; points have dataset, block, blocks and ``columns``."""
-    units = points.groupBy("dataset").agg(F.max("blocks").alias("b")).agg(F.coalesce(F.sum(F.col("b") * F.ceil(F.col("b") / GROUP_BLOCKS)), F.lit(0))).first()[0]
-    n = heavy_partitions(points.sparkSession, 4 * units)
+    """Each block of a dataset with each of its blocks; points have dataset, block, blocks and ``columns``."""
+    units = points.select("dataset", "blocks").distinct().agg(F.coalesce(F.sum(F.col("blocks") * F.col("blocks")), F.lit(0))).first()[0]
+    n = heavy_partitions(points.sparkSession, 2 * units)
     keys = ["dataset", "block", "side"]
-    groups = F.ceil(F.col("blocks") / GROUP_BLOCKS).cast("int")
-    left = points.withColumn("side", F.explode(F.sequence(F.lit(0), groups - 1))).select(*keys, *columns).repartition(n, *keys)
-    right = points.withColumn("side", F.floor(F.col("block") / GROUP_BLOCKS).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*keys, *columns).repartition(n, *keys)
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = points.withColumn("side", every).select(*keys, *columns).repartition(n, *keys)
+    right = points.withColumn("side", F.col("block")).withColumn("block", every).select(*keys, *columns).repartition(n, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, schema)
 
 
@@ -121,18 +169,6 @@ def scales(points: DataFrame) -> DataFrame:
     return counted.groupBy("rep").agg(F.sqrt(F.coalesce(F.min(F.when(inside, F.col("d2"))), F.max("d2"))).alias("scale"))
 
 
-def _follow(pointers: DataFrame) -> DataFrame:
-    """rep, peak: the end of the chain of pointers (rep, to; to is null at an end), by doubling the steps."""
-    state = cut(pointers.select("rep", F.coalesce("to", "rep").alias("peak")), "peaks")
-    while True:
-        step = state.select(F.col("rep").alias("peak"), F.col("peak").alias("next"))
-        state = cut(state.join(step, "peak").select("rep", F.col("next").alias("peak"), (F.col("next") != F.col("peak")).alias("moved")), "peaks")
-        moved = state.where("moved").limit(1).count()
-        state = state.drop("moved")
-        if not moved:
-            return state
-
-
 def usable_edges(edges: DataFrame) -> DataFrame:
     """dataset, a, b, weight: undirected edges between different rows, with their greatest usable weight, heavy ones only.
 
@@ -152,10 +188,11 @@ def clusters(matrix: DataFrame, edges: DataFrame) -> DataFrame:
     a third of all rows share costs no more than one row. Empty tables give an empty result.
     """
     rows = cut(latest_rows(matrix), "cluster-rows")
-    distinct, owned = copies(rows, 1)
-    distinct, owned = cut(distinct.drop("ids"), "cluster-points"), cut(owned, "cluster-owned")
-    sizes = distinct.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    points = cut(distinct.join(sizes, "dataset").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "cluster-blocks")
+    distinct, owned, _ = copies(rows, 1)
+    owned = cut(owned, "cluster-owned")
+    # how many blocks a dataset has follows from its rows; a small table
+    sizes = cut(owned.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")), "cluster-sizes")
+    points = cut(distinct.join(sizes, "dataset").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "cluster-points")
     scaled = cut(points.join(cut(scales(points), "scales"), "rep").where("scale IS NOT NULL"), "cluster-scaled")
 
     met = _blocked(scaled, ["rep", "scale", "v"], _nearest_denser, "rep bigint, d2 double, to bigint")
@@ -165,7 +202,7 @@ def clusters(matrix: DataFrame, edges: DataFrame) -> DataFrame:
     target = own.select(F.col("rep").alias("to"), F.col("scale").alias("_target"))
     pointed = cut(pointed.join(target, "to", "left").select("rep", "dataset", "n_copies", "scale", "delta", F.when(F.col("delta") <= REACH * F.col("_target"), F.col("to")).alias("to")), "pointers")
 
-    peaks = _follow(pointed)
+    peaks = follow(pointed, "rep", "to", "peak")
     by_row = cut(owned.join(peaks, "rep").join(own.select("rep", "scale"), "rep").select("row_id", "dataset", "peak", "scale"), "labelled")
     heavy = cut(usable_edges(edges), "heavy-edges")
     end = by_row.select("row_id", "peak")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.vectors import all_finite, any_nonzero
+from orrery.plans.cut import cut
 
 
 def latest_rows(matrix: DataFrame) -> DataFrame:
@@ -27,17 +28,24 @@ def latest_rows(matrix: DataFrame) -> DataFrame:
     return newest.select("row_id", "dataset", F.coalesce("probe", F.lit(False)).alias("probe"), v.alias("v"), usable.alias("usable"))
 
 
-def copies(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
-    """Usable rows -> (distinct vectors, rows with their representative).
+def copies(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of :func:`latest_rows` (cut) -> (points, owned, multi) of the usable ones.
 
-    Distinct vectors: dataset, rep (smallest row_id of the exact copies), v, n_copies, ids (the ``keep`` smallest
-    row_ids of the copies, ascending). However many copies a vector has, one row stands for them: the window that
-    numbers them stops at ``keep`` per task before anything is shuffled.
+    points: dataset, rep (smallest row_id of the exact copies), v, n_copies - one row per distinct vector. owned: row_id,
+    dataset, rep of every row. multi: rep, ids - the ``keep`` smallest row_ids of the vectors that have copies.
+
+    Copies are told by a 128-bit hash of dataset and vector, so that only numbers are shuffled for it; the vectors travel
+    once, and not at all where the rows with copies are few enough to be broadcast. However many copies a vector has, one
+    row stands for them, and the window that numbers them stops at ``keep`` per task before anything is shuffled.
     """
-    keyed = rows.where("usable").select("row_id", "dataset", "v")
-    few = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("dataset", "v").orderBy("row_id"))).where(F.col("_nth") <= keep)
-    ids = few.groupBy("dataset", "v").agg(F.sort_array(F.collect_list("row_id")).alias("ids"))
-    counted = keyed.groupBy("dataset", "v").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    distinct = counted.join(ids, ["dataset", "v"]).select("dataset", "rep", "v", "n_copies", "ids")
-    owned = keyed.join(counted.where("n_copies > 1").select("dataset", "v", "rep"), ["dataset", "v"], "left")
-    return distinct, owned.select("row_id", "dataset", F.coalesce("rep", "row_id").alias("rep"))
+    usable = rows.where("usable")
+    keyed = cut(usable.select("row_id", "dataset", F.xxhash64("dataset", "v").alias("k1"), F.xxhash64("v", F.lit(1), "dataset").alias("k2")), "row-keys")
+    shared = keyed.groupBy("k1", "k2").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
+    doubles = cut(keyed.join(shared, ["k1", "k2"]).select("row_id", "rep", "n_copies"), "row-copies")
+    points = usable.select("row_id", "dataset", "v").join(doubles, "row_id", "left").where("rep IS NULL OR rep = row_id")
+    points = points.select("dataset", F.col("row_id").alias("rep"), "v", F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    owned = keyed.select("row_id", "dataset").join(doubles.select("row_id", "rep"), "row_id", "left").select("row_id", "dataset", F.coalesce("rep", "row_id").alias("rep"))
+    nth = F.row_number().over(Window.partitionBy("rep").orderBy("row_id"))
+    few = doubles.select("rep", "row_id").withColumn("_nth", nth).where(F.col("_nth") <= keep)
+    multi = few.groupBy("rep").agg(F.sort_array(F.collect_list("row_id")).alias("ids"))
+    return points, owned, multi

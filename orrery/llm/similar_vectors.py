@@ -114,18 +114,17 @@ def similar_rows(matrix: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, b
     approximate: recall against brute force is measured in the tests (at least 0.99 on the test data).
     """
     rows = cut(latest_rows(matrix).where("usable"), "knn-rows")
-    distinct, owned = copies(rows, k + 1)
-    distinct, owned = cut(distinct, "knn-distinct"), cut(owned, "knn-owned")
+    points, owned, multi = copies(rows, k + 1)
+    distinct, owned, multi = cut(points.select("dataset", "rep", "v"), "knn-distinct"), cut(owned, "knn-owned"), cut(multi, "knn-multi")
     index, plan = build_index(distinct, shard_rows)
-    found = cut(search_index(index, plan, distinct.select("dataset", "rep", "v"), k, beam), "knn-found")
+    found = cut(search_index(index, plan, distinct, k, beam), "knn-found")
     # exact check: a pair met from either side counts for both
     both = found.unionByName(found.select(F.col("neighbour").alias("rep"), F.col("rep").alias("neighbour"), "distance"))
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("distance", "neighbour"))
     # a pair may be there twice; 2k rows hold at least k different ones
     near = both.withColumn("_nth", nth).where(F.col("_nth") <= 2 * k).select("rep", "neighbour", "distance").distinct()
-    multi = distinct.where("n_copies > 1").select(F.col("rep").alias("neighbour"), "ids")
-    spread = near.join(multi, "neighbour", "left").select("rep", "distance", F.explode(F.coalesce("ids", F.array("neighbour"))).alias("id"))
-    own = distinct.select("rep", F.lit(0.0).alias("distance"), F.explode("ids").alias("id"))
+    spread = near.join(multi.withColumnRenamed("rep", "neighbour"), "neighbour", "left").select("rep", "distance", F.explode(F.coalesce("ids", F.array("neighbour"))).alias("id"))
+    own = distinct.select("rep").join(multi, "rep", "left").select("rep", F.lit(0.0).alias("distance"), F.explode(F.coalesce("ids", F.array("rep"))).alias("id"))
     lists = spread.unionByName(own).groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "id"))), 1, k + 1).alias("near"))
     rest = F.slice(F.filter("near", lambda s: s["id"] != F.col("row_id")), 1, k)
     return (
