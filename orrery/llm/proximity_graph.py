@@ -161,13 +161,20 @@ def _offer_back(x: np.ndarray, links: np.ndarray, rows: np.ndarray, degree: int,
 
 
 def search(x: np.ndarray, links: np.ndarray, entries: np.ndarray, q: np.ndarray, k: int, beam: int, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """The k rows nearest to each query that the walk met, with exact double-precision distances."""
+    """The k rows nearest to each query that the walk met, with exact double-precision distances.
+
+    Twice as many are measured exactly, and rows at the distance of the k-th are all returned, so that ties can be broken by
+    id later; unused places hold id -1 and an infinite distance.
+    """
     mean = x.mean(0, dtype=np.float64).astype(np.float32)
     xc, qc = x - mean, q - mean
-    ids = np.concatenate([beam_search(xc, links, entries, qc[s : s + batch], beam)[0][:, :k] for s in range(0, len(q), batch)])
+    ids = np.concatenate([beam_search(xc, links, entries, qc[s : s + batch], beam)[0][:, : 2 * k] for s in range(0, len(q), batch)])
     dist = np.full(ids.shape, np.inf)
-    for s in range(0, len(q), 4096):
-        i = ids[s : s + 4096]
-        diff = x[np.maximum(i, 0)].astype(np.float64) - q[s : s + 4096, None, :].astype(np.float64)
-        dist[s : s + 4096] = np.where(i >= 0, np.sqrt(np.einsum("bcd,bcd->bc", diff, diff)), np.inf)
+    for s in range(0, len(q), 2048):
+        i = ids[s : s + 2048]
+        diff = x[np.maximum(i, 0)].astype(np.float64) - q[s : s + 2048, None, :].astype(np.float64)
+        dist[s : s + 2048] = np.where(i >= 0, np.sqrt(np.einsum("bcd,bcd->bc", diff, diff)), np.inf)
+    if ids.shape[1] > k:
+        far = dist > np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
+        ids, dist = np.where(far, -1, ids), np.where(far, np.inf, dist)
     return ids, dist
