@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# --- fixed values of the method ----------------------------------------------------------------------------------
-BISECTIONS, TOLERANCE = 200, 1e-5
-COST_EPS = 1e-9
-# ----------------------------------------------------------------------------------------------------------------
+from orrery.operators import kernels
+
+COST_EPS = 1e-9  # fixed value of the method
 
 
 def neighbour_policy(n: int, perplexity: float | None = None) -> tuple[int, float]:
@@ -25,33 +26,21 @@ def neighbour_policy(n: int, perplexity: float | None = None) -> tuple[int, floa
 
 
 def conditional(knn: DataFrame, perplexity: float) -> DataFrame:
-    """src, dst, p: p(dst | src) proportional to exp(-beta d^2), beta by at most 200 bisections so that the entropy of each
-    row is ln(perplexity). The whole search is one expression."""
-    lists = knn.groupBy("src_id").agg(F.sort_array(F.collect_list(F.struct("distance", "nbr_id"))).alias("near")).withColumn("d2", F.transform("near", lambda s: s["distance"] * s["distance"]))
-    goal = math.log(perplexity)
-    inf = float("inf")
-    start = F.struct(F.lit(-inf).alias("lo"), F.lit(inf).alias("hi"), F.lit(1.0).alias("beta"), F.lit(False).alias("done"))
-
-    def step(a, _):
-        total = F.aggregate("d2", F.lit(0.0), lambda acc, x: acc + F.exp(-a["beta"] * x))
-        weighted = F.aggregate("d2", F.lit(0.0), lambda acc, x: acc + x * F.exp(-a["beta"] * x))
-
-        def move(t):
-            s = F.greatest(t["s"], F.lit(1e-300))
-            off = a["beta"] * t["w"] / s + F.log(s) - goal
-            done = F.abs(off) < TOLERANCE
-            up = off > 0
-            lo, hi = F.when(up, a["beta"]).otherwise(a["lo"]), F.when(up, a["hi"]).otherwise(a["beta"])
-            beta = F.when(up, F.when(a["hi"] == inf, a["beta"] * 2).otherwise((a["beta"] + a["hi"]) / 2)).otherwise(F.when(a["lo"] == -inf, a["beta"] / 2).otherwise((a["beta"] + a["lo"]) / 2))
-            moved = F.struct(F.when(done, a["lo"]).otherwise(lo).alias("lo"), F.when(done, a["hi"]).otherwise(hi).alias("hi"), F.when(done, a["beta"]).otherwise(beta).alias("beta"), done.alias("done"))
-            return F.when(a["done"], a).otherwise(moved)
-
-        return F.transform(F.array(F.struct(total.alias("s"), weighted.alias("w"))), move)[0]
-
-    solved = lists.withColumn("beta", F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), start, step)["beta"])
-    raw = solved.withColumn("e", F.transform("d2", lambda x: F.exp(-F.col("beta") * x))).withColumn("z", F.greatest(F.aggregate("e", F.lit(0.0), lambda a, x: a + x), F.lit(1e-300)))
-    pairs = raw.select(F.col("src_id").alias("src"), "z", F.explode(F.arrays_zip(F.col("near.nbr_id").alias("dst"), F.col("e").alias("e"))).alias("c"))
-    return pairs.select("src", F.col("c.dst").alias("dst"), (F.col("c.e") / F.col("z")).alias("p"))
+    """src, dst, p: p(dst | src) proportional to exp(-beta d^2), beta such that the entropy of each row is ln(perplexity).
+
+    One short list per row goes to numpy in Arrow batches, where all rows of a batch are searched in step; as nested
+    higher-order functions the same search is interpreted row by row.
+    """
+
+    def run(batches):
+        for b in batches:
+            d, mask = kernels.padded(b["d"].to_pylist())
+            p = kernels.perplexity_rows(d, perplexity, mask)
+            yield pa.RecordBatch.from_arrays([b["src_id"], b["ids"], pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(mask.sum(1))]).astype(np.int32)), pa.array(p[mask]))], ["src", "ids", "p"])
+
+    lists = knn.groupBy("src_id").agg(F.sort_array(F.collect_list(F.struct("distance", "nbr_id"))).alias("near")).select("src_id", F.col("near.nbr_id").alias("ids"), F.col("near.distance").alias("d"))
+    solved = lists.mapInArrow(run, "src bigint, ids array<bigint>, p array<double>")
+    return solved.select("src", F.explode(F.arrays_zip("ids", "p")).alias("c")).select("src", F.col("c.ids").alias("dst"), F.col("c.p").alias("p"))
 
 
 def symmetric(cond: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import kernels
+
 # --- fixed values of the method ----------------------------------------------------------------------------------
-BISECTIONS, TOLERANCE = 64, 1e-5
 LEAST_SHARE = 1e-3
 TINY = 1e-12
 LEAST_WEIGHT = 1e-6
@@ -17,36 +19,19 @@ LEAST_WEIGHT = 1e-6
 def smooth_knn(knn: DataFrame) -> DataFrame:
     """src_id, rho, sigma of each row of a neighbour table.
 
-    rho is the least positive distance (else 0). sigma solves sum(d <= rho ? 1 : exp(-(d - rho) / sigma)) = log2(k) by at
-    most 64 bisections from 1.0, doubling while no upper end is known, keeping the best value met; it is at least 1e-3 of
-    the row's mean distance (of the overall mean if rho is 0) and at least 1e-12. The search is a fold over a sequence
-    inside one expression, so rows never leave the JVM.
+    rho is the least positive distance (else 0). sigma solves sum(d <= rho ? 1 : exp(-(d - rho) / sigma)) = log2(k); it is at
+    least 1e-3 of the row's mean distance (of the overall mean if rho is 0) and at least 1e-12. One short list per row goes
+    to numpy in Arrow batches, where all rows of a batch are searched in step.
     """
+
+    def run(batches):
+        for b in batches:
+            d, mask = kernels.padded(b["d"].to_pylist())
+            rho, sigma = kernels.smooth_rows(d, mask)
+            yield pa.RecordBatch.from_arrays([b["src_id"], pa.array(rho), pa.array(sigma), pa.array(d.sum(1) / np.maximum(mask.sum(1), 1))], ["src_id", "rho", "sigma", "mean"])
+
     lists = knn.groupBy("src_id").agg(F.sort_array(F.collect_list("distance")).alias("d"))
-    lists = lists.withColumn("rho", F.coalesce(F.array_min(F.filter("d", lambda x: x > 0)), F.lit(0.0))).withColumn("target", F.log2(F.size("d").cast("double")))
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(1.0).alias("s"), F.lit(1.0).alias("best"), F.lit(float("inf")).alias("miss"), F.lit(False).alias("done"))
-
-    def mass(s):
-        return F.aggregate("d", F.lit(0.0), lambda acc, x: acc + F.when(x <= F.col("rho"), 1.0).otherwise(F.exp(-(x - F.col("rho")) / F.greatest(s, F.lit(TINY)))))
-
-    def step(a, _):
-        def with_mass(p):
-            off = F.abs(p - F.col("target"))
-            better = off < a["miss"]
-            done = a["done"] | (off < TOLERANCE)
-            over = p > F.col("target")
-            lo, hi = F.when(over, a["lo"]).otherwise(a["s"]), F.when(over, a["s"]).otherwise(a["hi"])
-            s = F.when(over, (a["lo"] + a["s"]) / 2).when(a["hi"] == float("inf"), a["s"] * 2).otherwise((a["s"] + a["hi"]) / 2)
-            moved = F.struct(
-                F.when(done, a["lo"]).otherwise(lo).alias("lo"), F.when(done, a["hi"]).otherwise(hi).alias("hi"), F.when(done, a["s"]).otherwise(s).alias("s"),
-                F.when(better, a["s"]).otherwise(a["best"]).alias("best"), F.least(off, a["miss"]).alias("miss"), done.alias("done"),
-            )
-            return F.when(a["done"], a).otherwise(moved)
-
-        return F.transform(F.array(mass(a["s"])), with_mass)[0]
-
-    solved = lists.withColumn("z", F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), start, step))
-    solved = solved.select("src_id", "rho", F.col("z.best").alias("sigma"), (F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.size("d")).alias("mean"))
+    solved = lists.mapInArrow(run, "src_id bigint, rho double, sigma double, mean double")
     overall = knn.agg(F.avg("distance").alias("_all"))
     floor = LEAST_SHARE * F.when(F.col("rho") > 0, F.col("mean")).otherwise(F.col("_all"))
     return solved.crossJoin(F.broadcast(overall)).select("src_id", "rho", F.greatest("sigma", floor, F.lit(TINY)).alias("sigma"))

@@ -167,27 +167,64 @@ def tsne_optimize(y: np.ndarray, src: np.ndarray, dst: np.ndarray, p: np.ndarray
     return y, costs
 
 
-def perplexity_rows(d: np.ndarray, perplexity: float) -> np.ndarray:
-    """Conditional probabilities (rows of sorted distances) of the given perplexity."""
-    d2 = d * d
+def padded(lists: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of different length as one array, with the mask of its used places."""
+    sizes = np.array([len(x) for x in lists])
+    mask = np.arange(max(1, int(sizes.max(initial=0))))[None] < sizes[:, None]
+    out = np.zeros(mask.shape)
+    out[mask] = np.concatenate([np.asarray(x, float) for x in lists]) if len(lists) else []
+    return out, mask
+
+
+def perplexity_rows(d: np.ndarray, perplexity: float, mask: np.ndarray | None = None) -> np.ndarray:
+    """Conditional probabilities (rows of distances) of the given perplexity: beta by at most 200 bisections from 1 on the
+    entropy, doubling or halving while an end is open. All rows are searched in step; finished ones rest."""
+    mask = np.ones(d.shape, bool) if mask is None else mask
+    d2 = np.where(mask, d * d, 0.0)
     goal, beta = np.log(perplexity), np.ones(len(d))
-    lo, hi, done = np.full(len(d), -np.inf), np.full(len(d), np.inf), np.zeros(len(d), bool)
+    lo, hi, live = np.full(len(d), -np.inf), np.full(len(d), np.inf), np.arange(len(d))
     for _ in range(200):
-        e = np.exp(-beta[:, None] * d2)
+        x, m, b = d2[live], mask[live], beta[live]
+        e = np.where(m, np.exp(-b[:, None] * x), 0.0)
         s = np.maximum(e.sum(1), 1e-300)
-        off = beta * (d2 * e).sum(1) / s + np.log(s) - goal
-        done |= np.abs(off) < 1e-5
-        if done.all():
+        off = b * (x * e).sum(1) / s + np.log(s) - goal
+        go = np.abs(off) >= 1e-5
+        live, b, up = live[go], b[go], off[go] > 0
+        if not len(live):
             break
-        up = off > 0
-        lo, hi = np.where(~done & up, beta, lo), np.where(~done & ~up, beta, hi)
-        more = np.where(np.isinf(hi), beta * 2, (beta + hi) / 2)
-        less = np.where(np.isinf(lo), beta / 2, (beta + lo) / 2)
-        beta = np.where(done, beta, np.where(up, more, less))
-    e = np.exp(-beta[:, None] * d2)
+        lo[live], hi[live] = np.where(up, b, lo[live]), np.where(up, hi[live], b)
+        more = np.where(np.isinf(hi[live]), b * 2, (b + hi[live]) / 2)
+        less = np.where(np.isinf(lo[live]), b / 2, (b + lo[live]) / 2)
+        beta[live] = np.where(up, more, less)
+    e = np.where(mask, np.exp(-beta[:, None] * d2), 0.0)
     return e / np.maximum(e.sum(1, keepdims=True), 1e-300)
 
 
+def smooth_rows(d: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rho, sigma) of rows of distances, before the floor: rho the least positive distance (else 0), sigma by at most 64
+    bisections from 1 on the mass log2(k), doubling while no upper end is known; the best value met is kept."""
+    positive = np.where(mask & (d > 0), d, np.inf).min(1)
+    rho = np.where(np.isfinite(positive), positive, 0.0)
+    target = np.log2(np.maximum(mask.sum(1), 1).astype(float))
+    n = len(d)
+    lo, hi, s, best, miss, live = np.zeros(n), np.full(n, np.inf), np.ones(n), np.ones(n), np.full(n, np.inf), np.arange(n)
+    over = np.maximum(d - rho[:, None], 0.0)
+    for _ in range(64):
+        at = s[live]
+        mass = np.where(mask[live], np.exp(-over[live] / np.maximum(at, 1e-12)[:, None]), 0.0).sum(1)
+        off = np.abs(mass - target[live])
+        better = off < miss[live]
+        best[live], miss[live] = np.where(better, at, best[live]), np.minimum(off, miss[live])
+        go = off >= 1e-5
+        up = (mass > target[live])[go]
+        live, at = live[go], at[go]
+        if not len(live):
+            break
+        lo[live], hi[live] = np.where(up, lo[live], at), np.where(up, at, hi[live])
+        s[live] = np.where(up, (lo[live] + at) / 2, np.where(np.isinf(hi[live]), at * 2, (at + hi[live]) / 2))
+    return rho, best
+
+
 def tsne_transform(start: np.ndarray, p: np.ndarray, near: np.ndarray, reference: np.ndarray, n_iter: int = 250, early_iter: int = 0, early_exaggeration: float = 4.0, exaggeration: float = 1.5, learning_rate: float = 0.1, momentum: tuple[float, float] = (0.8, 0.8), max_grad_norm: float = 0.25, max_step_norm: float = np.inf, sample: np.ndarray | None = None) -> np.ndarray:
     """New rows moved among fixed reference rows. Each row's path depends on nothing but its own neighbours, so any
     batching gives the same result. ``sample``: reference rows that stand for all in the repulsion."""

@@ -164,15 +164,16 @@ def ivf_knn(reference: DataFrame, k: int, metric: str = "euclidean", query: Data
                 d = (c * c).sum(1)[None] - 2 * x @ c.T
                 take = min(count, len(c))
                 near = np.argpartition(d, take - 1, axis=1)[:, :take]
-                ids = np.repeat(b["id"].to_numpy(), take)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.ravel().astype(np.int32))], ["id", "r"])
+                again = pa.array(np.repeat(np.arange(b.num_rows), take))
+                yield pa.RecordBatch.from_arrays([b["id"].take(again), b["features"].take(again), pa.array(near.ravel().astype(np.int32))], ["id", "features", "r"])
 
         return run
 
-    ref_in = ref.join(ref.mapInArrow(nearest_lists(1), "id bigint, r int"), "id")
+    placed = "id bigint, features array<double>, r int"
+    ref_in = cut(ref.mapInArrow(nearest_lists(1), placed), "ivf-lists")
     sizes = ref_in.groupBy("r").agg(F.ceil(F.count(F.lit(1)) / REFERENCE_BLOCK).cast("int").alias("blocks"))
     ref_in = ref_in.join(sizes, "r").withColumn("q", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-    qry_in = qry.join(qry.mapInArrow(nearest_lists(n_probe), "id bigint, r int"), "id").join(sizes, "r").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    qry_in = qry.mapInArrow(nearest_lists(n_probe), placed).join(sizes, "r").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     n = heavy_partitions(spark, 4 * len(centres))
     keys = ["q", "r"]
     met = qry_in.repartition(n, *keys).groupBy(*keys).cogroup(ref_in.repartition(n, *keys).groupBy(*keys)).applyInArrow(_block_top(k, metric, self_search), KNN)

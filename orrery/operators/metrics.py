@@ -185,11 +185,9 @@ def sampled_pairs(ids: DataFrame, limit: int = GLOBAL_PAIRS, seed: int = 4) -> D
     Pairs are numbers of a range that are taken apart again, so nothing is joined with itself.
     """
     spark = ids.sparkSession
-    w = Window.orderBy("id")
     # numbers rows within range partitions first, so that no task sorts all ids
     placed = ids.select("id").repartitionByRange("id").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("id")))
     offsets = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_o", F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
-    del w
     numbered = placed.join(offsets.select("_p", "_o"), "_p").select("id", (F.col("_i") + F.col("_o") - 1).cast("bigint").alias("at"))
     n = ids.count()
     total = n * (n - 1) // 2
@@ -245,7 +243,7 @@ def density_metrics(high_knn: DataFrame, low_knn: DataFrame, k: int) -> DataFram
 def centroid_corr(high: DataFrame, low: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: Pearson correlation of the distances between class centroids in both tables; null below 3 classes."""
     def centroids(df):
-        long = df.join(labels.where("label IS NOT NULL").select("id", "label"), "id").select("label", F.posexplode("features").alias("pos", "x"))
+        long = df.select("id", "features").join(labels.where("label IS NOT NULL").select("id", "label"), "id").select("label", F.posexplode("features").alias("pos", "x"))
         return long.groupBy("label", "pos").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("c"))
 
     both = centroids(high).withColumnRenamed("c", "h").join(centroids(low).withColumnRenamed("c", "y"), "label")

@@ -155,8 +155,8 @@ SELECT i AS id, round(sum(coalesce(p, 0) * q * d1 - q * q * d1 / (SELECT sum(q)
     "rank_metrics": f"""WITH {E}, {RANKS} SELECT k::BIGINT AS k, round(1 - 2.0 / (n * k * (2 * n - 3 * k - 1)) * t, 6) AS trustworthiness, round(1 - 2.0 / (n * k * (2 * n - 3 * k - 1)) * c, 6) AS continuity,
   round(shared / (n * k)::DOUBLE, 6) AS knn_preservation, round(err / (n * k)::DOUBLE, 6) AS mean_neighbor_rank_error FROM s, n""",
     "preservation": f"{KNN}, {LAYOUT}, {LOW_KNN} SELECT round((SELECT count(*) FROM knn JOIN lowknn USING (src_id, nbr_id)) / (15.0 * (SELECT count(*) FROM e)), 6)::DOUBLE AS knn_preservation",
-    "structure_score": f"""{KNN}, {LAYOUT}, {LOW_KNN}, s AS (SELECT count(*) FILTER (a.src_id IS NOT NULL AND b.src_id IS NOT NULL) AS both, count(*) FILTER (a.src_id IS NULL) AS f, count(*) FILTER (b.src_id IS NULL) AS l FROM knn a FULL OUTER JOIN lowknn b ON a.src_id = b.src_id AND a.nbr_id = b.nbr_id)
-SELECT round((both / t + 1 - f / t + 1 - l / t) / 3, 6) AS structure_score FROM s, (SELECT count(*) * 15.0::DOUBLE AS t FROM e)""",
+    "structure_score": f"""{KNN}, {LAYOUT}, {LOW_KNN}, s AS (SELECT count(*) FILTER (a.src_id IS NOT NULL AND b.src_id IS NOT NULL) AS shared, count(*) FILTER (a.src_id IS NULL) AS f, count(*) FILTER (b.src_id IS NULL) AS l FROM knn a FULL OUTER JOIN lowknn b ON a.src_id = b.src_id AND a.nbr_id = b.nbr_id)
+SELECT round((shared / t + 1 - f / t + 1 - l / t) / 3, 6) AS structure_score FROM s, (SELECT count(*) * 15.0::DOUBLE AS t FROM e)""",
     "silhouette": f"""WITH {E}, {LAYOUT}, m AS (SELECT a.id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) AS s, count(*) AS n FROM low a JOIN low b ON true GROUP BY ALL),
 x AS (SELECT id, sum(CASE WHEN own = other THEN CASE WHEN n > 1 THEN s / (n - 1) ELSE 0 END END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM m GROUP BY id) SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM x""",
     "distance_corr": f"""WITH {E}, {PAIRS}, r AS (SELECT *, rank() OVER (ORDER BY dh) + (count(*) OVER (PARTITION BY dh) - 1) / 2.0 AS rh, rank() OVER (ORDER BY dl) + (count(*) OVER (PARTITION BY dl) - 1) / 2.0 AS rl,
