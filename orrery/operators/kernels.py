@@ -54,7 +54,7 @@ def umap_optimize(y: np.ndarray, src: np.ndarray, dst: np.ndarray, eps: np.ndarr
         at = np.flatnonzero(due <= epoch)
         due[at] += eps[at]
         rng.shuffle(at)
-        for part in np.array_split(at, max(1, min(8, len(at) // 64))):
+        for part in np.array_split(at, max(1, min(4, len(at) // 64))):
             if not len(part):
                 continue
             i, j = src[part], dst[part]
@@ -84,16 +84,24 @@ def umap_optimize(y: np.ndarray, src: np.ndarray, dst: np.ndarray, eps: np.ndarr
 
 
 def exact_repulsion(y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Sum of q^2 (y_i - y_j) for each row, and the sum of q over ordered pairs."""
+    """Sum of q^2 (y_i - y_j) for each row, and the sum of q over ordered pairs; in single precision, strip by strip, in place."""
+    f = y.astype(np.float32)
     out, z = np.empty_like(y), 0.0
-    sq = (y * y).sum(1)
-    for s in range(0, len(y), 1024):
-        p = y[s : s + 1024]
-        q = 1 / (1 + np.maximum(sq[s : s + 1024, None] + sq[None] - 2 * p @ y.T, 0))
-        q[np.arange(len(p)), np.arange(s, s + len(p))] = 0
-        z += q.sum()
+    cols = [np.ascontiguousarray(f[:, c]) for c in range(f.shape[1])]
+    step = max(16, 500_000 // max(1, len(y)))
+    for s in range(0, len(y), step):
+        p = f[s : s + step]
+        q = np.subtract.outer(p[:, 0], cols[0])
         q *= q
-        out[s : s + 1024] = q.sum(1)[:, None] * p - q @ y
+        for c in range(1, len(cols)):
+            t = np.subtract.outer(p[:, c], cols[c])
+            t *= t
+            q += t
+        q += 1
+        np.reciprocal(q, out=q)
+        z += float(q.sum(dtype=np.float64)) - len(p)  # less the rows themselves, whose pull is nil
+        q *= q
+        out[s : s + step] = q.sum(1)[:, None] * p - q @ f
     return out, z
 
 
