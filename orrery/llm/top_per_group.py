@@ -44,6 +44,7 @@ def top_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 10,
     first = once.withColumn("_n", F.row_number().over(Window.partitionBy("_g", "_sub").orderBy(*order))).where(F.col("_n") <= n)
     if not hot.limit(1).count():  # no group was split, so every subgroup is a whole group
         return first.select(F.col("_g").alias(group), F.col("_i").alias(item), F.col("_s").alias(score), F.col("_n").cast("bigint").alias("position"))
+    first = cut(first, "survivors")  # at most n rows per subgroup
     # only large groups have more than one subgroup to merge
     settled = first.join(hot, "_g", "left_anti").select("_g", "_i", "_s", "_n")
     merged = first.join(hot, "_g", "left_semi").select("_g", "_i", "_s").withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(*order))).where(F.col("_n") <= n)
