@@ -57,7 +57,8 @@ def radix_percentiles(values: DataFrame, keys: Sequence[str], value: str = "valu
     at most one row per digit and task.
     """
     keys = list(keys)
-    coded = values.select(*keys, ordered_bits(F.col(value)).alias("_key")).where("_key IS NOT NULL")
+    # the integers are worked out once and written; every pass reads them
+    coded = cut(values.select(*keys, ordered_bits(F.col(value)).alias("_key")).where("_key IS NOT NULL"), "radix-keys")
     state = None
     for i, shift in enumerate(shifts):
         digit = F.shiftright("_key", shift)
