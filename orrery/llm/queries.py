@@ -67,10 +67,7 @@ def p7_ids(spark, d):
 
 
 def p7_round_trip(spark, d):
-    """doc_id, n_tokens, same: whether the ids of each text decode to its bytes again."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    back = token_ids.texts_of(token_ids.token_ids(docs)).select("doc_id", F.col("text").alias("back"))
-    return docs.join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
+    return token_ids.round_trips(table(spark, d, "documents"))
 
 
 def p8_pack(spark, d):

@@ -100,3 +100,22 @@ def _back(tokenizer: str, folder: str):
 def texts_of(ids: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """doc_id, text of (doc_id, ids); the inverse of :func:`token_ids` but for null texts, which come back empty."""
     return ids.select("doc_id", "ids").mapInArrow(_back(tokenizer, folder), "doc_id bigint, text string")
+
+
+def _there_and_back(tokenizer: str, folder: str):
+    def run(batches):
+        enc = encoding(tokenizer, folder)
+        for batch in batches:
+            for s in range(0, batch.num_rows, 512):
+                part = batch.slice(s, 512)
+                texts = [t or "" for t in part["text"].to_pylist()]
+                ids = [encode(t, enc) for t in texts]
+                same = [decode(i, enc) == t for i, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(i) for i in ids], pa.int32()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "same"])
+
+    return run
+
+
+def round_trips(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """doc_id, n_tokens, same: whether the ids of each text decode to it again (a null text counts as empty). One pass, no shuffle."""
+    return documents.select("doc_id", "text").mapInArrow(_there_and_back(tokenizer, folder), "doc_id bigint, n_tokens int, same boolean")

@@ -43,6 +43,7 @@ def test_round_trip(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in T.texts_of(T.token_ids(df)).collect()} == dict(enumerate(TEXTS))
     assert T.token_ids(df.where("doc_id < 0")).count() == 0
+    assert all(r.same for r in T.round_trips(df).collect())
 
 
 SAME = [
