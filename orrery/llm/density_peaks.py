@@ -214,6 +214,10 @@ def clusters(matrix: DataFrame, edges: DataFrame) -> DataFrame:
     lies_apart = (F.col("apart") >= APART) | ((F.col("apart") >= APART_WITH_EDGES) & (F.coalesce("ties", F.lit(0)) >= F.col("size") - 1))
     good = cut(trees.where(F.col("size") >= MIN_ROWS).join(peak, "peak").join(ties, "peak", "left").where(lies_apart).select("peak", "cluster_id"), "good-trees")
     members = cut(by_row.join(good, "peak").select("row_id", "dataset", "cluster_id", "scale"), "members")
+    # copies enough for a cluster lie nearer to one another than to all else, wherever they lie
+    lone = points.where(F.col("n_copies") >= MIN_ROWS).join(members.select(F.col("row_id").alias("rep")), "rep", "left_anti").select("rep")
+    alone = owned.join(lone, "rep").select("row_id", "dataset", F.col("rep").alias("cluster_id"), F.lit(0.0).alias("scale"))
+    members = cut(members.unionByName(alone), "members")
 
     loose = rows.where("NOT usable").select("row_id", "dataset")
     both = heavy.select("dataset", "a", "b", "weight").unionByName(heavy.select("dataset", F.col("b").alias("a"), F.col("a").alias("b"), "weight"))

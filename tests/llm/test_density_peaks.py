@@ -58,5 +58,13 @@ def test_many_copies_count_as_rows(spark):
     assert all(got[20_000 + j] == got[twin[0]] for j in range(30))
 
 
+def test_copies_are_a_cluster_of_their_own(spark):
+    matrix, edges, truth, _, rows = make(spark, 2)
+    lonely = spark.createDataFrame([(30_000 + j, "a", 12, [300.0 + v for v in range(12)], False, None, "", "") for j in range(4)] + [(40_000 + j, "only", 1, [2.0], False, None, "", "") for j in range(5)] + [(50_000, "one", 1, [2.0], False, None, "", "")], MATRIX)
+    got = {r.row_id: r.cluster_id for r in clusters(matrix.unionByName(lonely), edges).collect()}
+    assert {got[30_000 + j] for j in range(4)} == {30_000} and {got[40_000 + j] for j in range(5)} == {40_000} and 50_000 not in got
+    assert set(truth) <= set(got)
+
+
 def test_empty_tables(spark):
     assert clusters(spark.createDataFrame([], MATRIX), spark.createDataFrame([], EDGES)).count() == 0
