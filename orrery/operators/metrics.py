@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
+from orrery.plans.cut import cut
 
 #: Rows for which all ranks are computed; a larger table has to be sampled first (local_sample).
 RANK_ROWS = 5000
@@ -186,7 +187,7 @@ def sampled_pairs(ids: DataFrame, limit: int = GLOBAL_PAIRS, seed: int = 4) -> D
     """
     spark = ids.sparkSession
     # numbers rows within range partitions first, so that no task sorts all ids
-    placed = ids.select("id").repartitionByRange("id").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("id")))
+    placed = cut(ids.select("id").repartitionByRange("id").withColumn("_p", F.spark_partition_id()), "numbered").withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("id")))
     offsets = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_o", F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
     numbered = placed.join(offsets.select("_p", "_o"), "_p").select("id", (F.col("_i") + F.col("_o") - 1).cast("bigint").alias("at"))
     n = ids.count()
