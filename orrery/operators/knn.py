@@ -105,17 +105,21 @@ def exact_knn(reference: DataFrame, k: int, metric: str = "euclidean", query: Da
     self_search = query is None
     ref = cut(rows_for(reference.select("id", "features"), metric), "knn-reference")
     qry = ref if self_search else cut(rows_for(query.select("id", "features"), metric), "knn-query")
-    spark = reference.sparkSession
     n_ref, n_qry = ref.count(), qry.count()
     if not 1 <= k <= max(1, n_ref - self_search):
         raise ValueError(f"k must be between 1 and {n_ref - self_search}")
+    return _by_blocks(ref, qry, n_ref, n_qry, k, metric, self_search)
+
+
+def _by_blocks(ref: DataFrame, qry: DataFrame, n_ref: int, n_qry: int, k: int, metric: str, exclude_self: bool) -> DataFrame:
+    spark = ref.sparkSession
     r_blocks = max(1, math.ceil(n_ref / REFERENCE_BLOCK))
     q_blocks = max(1, math.ceil(n_qry / QUERY_BLOCK), min(math.ceil(n_qry / 128), math.ceil(cores(spark) / r_blocks)))
     n = heavy_partitions(spark, 4 * r_blocks * q_blocks)
     keys = ["q", "r"]
     left = qry.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1)))).repartition(n, *keys)
     right = ref.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(r_blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).repartition(n, *keys)
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_top(k, metric, self_search), KNN)
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_top(k, metric, exclude_self), KNN)
     return ranked(met, k)
 
 
@@ -140,10 +144,47 @@ def _lists(spark, sample: np.ndarray, n_lists: int, seed: int) -> np.ndarray:
 
 #: Rows at most on which the lists' centroids are fitted; every row is indexed.
 LIST_SAMPLE = 50_000
+#: Queries at most on which the recall of the lists is measured.
+PILOT_ROWS = 1_000
 
 
-def ivf_knn(reference: DataFrame, k: int, metric: str = "euclidean", query: DataFrame | None = None, n_lists: int = 64, n_probe: int = 8, seed: int = 4) -> DataFrame:
-    """As :func:`exact_knn`, but a query looks only into the ``n_probe`` lists nearest to it.
+def _probes_needed(target: float, least: int, ref: DataFrame, qry: DataFrame, placed: DataFrame, centres: np.ndarray, k: int, metric: str, exclude_self: bool, seed: int) -> int:
+    """The lists that a query must look into (at least ``least``) so that ``target`` of the true neighbours are found.
+
+    A true neighbour is found exactly if its list is looked into. The neighbours of a bounded sample of queries are searched
+    exactly, and the place of each one's list tells the recall of every number of lists at once; two standard errors below
+    the mean must reach the target. All lists are an exact search, so there always is an answer.
+    """
+    pilot = cut(qry.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(PILOT_ROWS), "ivf-pilot")
+    rows = pilot.select("id", "features").collect()
+    truth = _by_blocks(ref, pilot, ref.count(), len(rows), k, metric, exclude_self)
+    pairs = truth.join(placed.select(F.col("id").alias("nbr_id"), "r"), "nbr_id").select("src_id", "r").collect()
+    if not pairs:
+        return least
+    nth = {r.id: i for i, r in enumerate(rows)}
+    x = np.array([r.features for r in rows], float)
+    src, own = np.array([nth[p.src_id] for p in pairs]), np.array([p.r for p in pairs])
+    need, c2 = np.empty(len(pairs), int), (centres * centres).sum(1)
+    for s in range(0, len(pairs), 1024):
+        i, r = src[s : s + 1024], own[s : s + 1024]
+        d = c2[None] - 2 * x[i] @ centres.T
+        need[s : s + 1024] = (d <= d[np.arange(len(r)), r][:, None]).sum(1)
+    wanted = np.bincount(src, minlength=len(x))
+
+    def holds(count):
+        share = np.bincount(src, need <= count, len(x))[wanted > 0] / wanted[wanted > 0]
+        return share.mean() - 2 * share.std() / math.sqrt(len(share)) >= target
+
+    low, high = min(least, len(centres)), len(centres)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if holds(mid) else (mid + 1, high)
+    return high
+
+
+def ivf_knn(reference: DataFrame, k: int, metric: str = "euclidean", query: DataFrame | None = None, n_lists: int = 64, n_probe: int = 8, seed: int = 4, target_recall: float | None = None) -> DataFrame:
+    """As :func:`exact_knn`, but a query looks only into the ``n_probe`` lists nearest to it, or into as many more as a
+    sample of the queries needs for ``target_recall``.
 
     Centroids are fitted on a bounded sample (LIST_SAMPLE rows by hash order); each reference row goes to one list. Queries
     meet the lists by an equi-join on the list's number and block, so a long list is cut into blocks like any other.
@@ -171,6 +212,8 @@ def ivf_knn(reference: DataFrame, k: int, metric: str = "euclidean", query: Data
 
     placed = "id bigint, features array<double>, r int"
     ref_in = cut(ref.mapInArrow(nearest_lists(1), placed), "ivf-lists")
+    if target_recall is not None:
+        n_probe = _probes_needed(target_recall, n_probe, ref, qry, ref_in, centres, k, metric, self_search, seed)
     sizes = ref_in.groupBy("r").agg(F.ceil(F.count(F.lit(1)) / REFERENCE_BLOCK).cast("int").alias("blocks"))
     ref_in = ref_in.join(sizes, "r").withColumn("q", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
     qry_in = qry.mapInArrow(nearest_lists(n_probe), placed).join(sizes, "r").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")

@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -91,6 +92,27 @@ def test_list_search_recall(spark):
     assert knn.plan_knn(1000, 1000, 10, 5).strategy == "exact" and knn.plan_knn(10**8, 10**8, 100, 15).strategy == "lists"
 
 
+def test_recall_of_the_lists_query(spark):
+    from orrery import queries
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(f"{folder}/embeddings.parquet"):
+        pytest.skip("no test data")
+    r = knn.knn_recall(queries.knn_lists(spark, folder), queries.knn_euclidean(spark, folder), 15).first()
+    print("recall of knn_lists:", r)
+    assert r.mean_recall >= 0.9
+
+
+def test_probes_grow_until_the_recall_holds(spark):
+    x = np.random.default_rng(8).normal(0, 1, (1500, 24))
+    truth = knn.exact_knn(table(spark, x), 10)
+    few = knn.ivf_knn(table(spark, x), 10, n_lists=40, n_probe=4)
+    assert knn.knn_recall(few, truth, 10).first().mean_recall < 0.9
+    for target in (0.9, 1.0):
+        got = knn.ivf_knn(table(spark, x), 10, n_lists=40, n_probe=4, target_recall=target)
+        assert knn.knn_recall(got, truth, 10).first().mean_recall >= (target if target < 1 else 0.999)
+
+
 def test_self_is_stripped_by_rule(spark):
     rows = [(1, 1, 1, 0.0), (1, 2, 2, 1.0), (2, 3, 1, 0.5), (2, 2, 2, 0.6), (3, 1, 1, 0.1), (3, 3, 2, 0.2)]
     df = spark.createDataFrame(rows, "src_id long, nbr_id long, rank long, distance double")
