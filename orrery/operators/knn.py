@@ -19,7 +19,7 @@ METRICS = ("euclidean", "cosine", "correlation", "inner_product")
 REFERENCE_BLOCK = 16_384
 #: Queries of a block at most; smaller when there are few, so that all cores have work.
 QUERY_BLOCK = 8_192
-#: n_reference * n_query * dims up to which an exact search is chosen.
+#: n_reference * n_query * dims up to which an exact search is chosen although a target_recall was named.
 EXACT_BUDGET = 5e12
 KNN = "src_id bigint, nbr_id bigint, distance double"
 
@@ -37,7 +37,8 @@ class KnnPlan:
 
 
 def plan_knn(n_reference: int, n_query: int, dims: int, k: int, target_recall: float = 0.99) -> KnnPlan:
-    """Exact within the budget of products, else inverted lists with as many probes as the recall asks for."""
+    """For callers who accept a recall below 1: exact within the budget of products, else inverted lists. ``n_probe`` is where
+    the search starts; it grows until the recall holds on a sample."""
     if not 1 <= k:
         raise ValueError("k must be at least 1")
     if n_reference * n_query * dims <= EXACT_BUDGET:
@@ -223,21 +224,26 @@ def ivf_knn(reference: DataFrame, k: int, metric: str = "euclidean", query: Data
     return ranked(met, k)
 
 
-def precompute_knn(df: DataFrame, k: int = 30, metric: str = "euclidean", target_recall: float = 0.99, seed: int = 4) -> DataFrame:
-    """Self-search with the strategy that :func:`plan_knn` chooses."""
+def precompute_knn(df: DataFrame, k: int = 30, metric: str = "euclidean", target_recall: float | None = None, seed: int = 4) -> DataFrame:
+    """Self-search, exact at every size. Only a caller who names a ``target_recall`` may get the lists that
+    :func:`plan_knn` chooses for large tables, with as many probes as that recall needs on a sample."""
+    if target_recall is None:
+        return exact_knn(df, k, metric)
     first = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("p")).first()
     plan = plan_knn(first.n, first.n, first.p or 1, k, target_recall)
-    return exact_knn(df, k, metric) if plan.strategy == "exact" else ivf_knn(df, k, metric, n_lists=plan.n_lists, n_probe=plan.n_probe, seed=seed)
+    return exact_knn(df, k, metric) if plan.strategy == "exact" else ivf_knn(df, k, metric, None, plan.n_lists, plan.n_probe, seed, target_recall)
 
 
-def precompute_query_knn(reference: DataFrame, query: DataFrame, k: int = 30, metric: str = "euclidean", target_recall: float = 0.99, seed: int = 4) -> DataFrame:
-    """Search of ``query`` rows among ``reference`` rows; an equal id is not excluded."""
+def precompute_query_knn(reference: DataFrame, query: DataFrame, k: int = 30, metric: str = "euclidean", target_recall: float | None = None, seed: int = 4) -> DataFrame:
+    """Search of ``query`` rows among ``reference`` rows, exact or not as in :func:`precompute_knn`; an equal id is not excluded."""
     a = reference.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("p"), F.min(F.size("features")).alias("l")).first()
     b = query.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("p"), F.min(F.size("features")).alias("l")).first()
     if b.n and {a.p, a.l} != {b.p, b.l}:
         raise ValueError("reference and query must have the same number of columns")
+    if target_recall is None:
+        return exact_knn(reference, k, metric, query)
     plan = plan_knn(a.n, b.n, a.p or 1, k, target_recall)
-    return exact_knn(reference, k, metric, query) if plan.strategy == "exact" else ivf_knn(reference, k, metric, query, plan.n_lists, plan.n_probe, seed)
+    return exact_knn(reference, k, metric, query) if plan.strategy == "exact" else ivf_knn(reference, k, metric, query, plan.n_lists, plan.n_probe, seed, target_recall)
 
 
 # --- supplied neighbour tables -----------------------------------------------------------------------------------

@@ -113,6 +113,16 @@ def test_probes_grow_until_the_recall_holds(spark):
         assert knn.knn_recall(got, truth, 10).first().mean_recall >= (target if target < 1 else 0.999)
 
 
+def test_large_tables_keep_every_neighbour(spark, monkeypatch):
+    monkeypatch.setattr(knn, "EXACT_BUDGET", 0)  # every table counts as large
+    x = np.random.default_rng(21).normal(0, 1, (700, 16))
+    q = np.random.default_rng(22).normal(0, 1, (90, 16))
+    assert lists(knn.precompute_knn(table(spark, x), 8)) == brute(x, 8)
+    assert lists(knn.precompute_query_knn(table(spark, x), table(spark, q), 8)) == brute(x, 8, q)
+    some = knn.knn_recall(knn.precompute_knn(table(spark, x), 8, target_recall=0.95), knn.exact_knn(table(spark, x), 8), 8).first()
+    assert some.mean_recall >= 0.95
+
+
 def test_self_is_stripped_by_rule(spark):
     rows = [(1, 1, 1, 0.0), (1, 2, 2, 1.0), (2, 3, 1, 0.5), (2, 2, 2, 0.6), (3, 1, 1, 0.1), (3, 3, 2, 0.2)]
     df = spark.createDataFrame(rows, "src_id long, nbr_id long, rank long, distance double")
