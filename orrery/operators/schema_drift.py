@@ -22,6 +22,8 @@ from orrery.plans.ranged import carried
 CHANGES = "file_id bigint, stream_id string, change_kind string, field_path string, old_path string, old_kind string, new_kind string, cost double"
 #: Columns the consistent table may have; more fields than this are an error, not a silent cut.
 MAX_COLUMNS = 5000
+#: The key of an object under which the field's own value lies; its other members tell more about it.
+VALUE_KEY = "value"
 #: Words for yes and no.
 YES_NO = frozenset({"true", "false", "yes", "no", "t", "f", "y", "n"})
 
@@ -36,9 +38,12 @@ def kind_of(value) -> str | None:
 
 
 def single(value):
-    """The first single value inside a list or object, else the value itself."""
+    """The single value inside a list (its first) or object (that of its value key, else of its least key), else the value itself."""
     while isinstance(value, (list, dict)):
-        value = next(iter(value.values() if isinstance(value, dict) else value), None)
+        if isinstance(value, dict):
+            value = value[key] if (key := VALUE_KEY if VALUE_KEY in value else min(value, default=None)) is not None else None
+        else:
+            value = next(iter(value), None)
     return value
 
 
@@ -210,51 +215,124 @@ def _as_text(value) -> str | None:
     return repr(value) if isinstance(value, (int, float)) else json.dumps(value)
 
 
-def _project(batches):
-    for batch in batches:
-        out = []
-        for payload, mapping in zip(batch["payload"].to_pylist(), batch["mapping"].to_pylist(), strict=True):
-            record, to = _parse(payload) or {}, dict(mapping or [])
-            row = {}
-            for key, v in record.items():
-                wrapped = isinstance(v, (list, dict)) and (len(v) == 1 or isinstance(v, dict))
-                row[to.get(key, key)] = _as_text(single(v) if wrapped else v)
-            out.append(list(row.items()))
-        yield pa.RecordBatch.from_arrays([batch["file_id"], batch["record_no"], pa.array(out, pa.map_(pa.string(), pa.string()))], ["file_id", "record_no", "row"])
+def _members(column: str, value, wide: frozenset[str]):
+    """(column, value) pairs of a field. Lists and objects of one are unwrapped, the value key of an object stands for the
+    field, other members get columns of their own (joined by U+001F), at any depth. An object of one key is no wrapping if
+    ``wide`` says that there are other keys in its place."""
+    stack = [(column, value, column)]
+    while stack:
+        at, v, path = stack.pop()
+        while isinstance(v, (list, dict)) and len(v) == 1 and not (isinstance(v, dict) and path in wide):
+            if isinstance(v, dict):
+                ((key, v),) = v.items()
+                path = f"{path}\x1f{key}"
+            else:
+                v = v[0]
+        if not isinstance(v, dict) or not v:
+            yield at, None if v == {} else v
+            continue
+        for key, member in v.items():
+            # an object under the value key is a member like any other
+            own = key == VALUE_KEY and not isinstance(member, dict)
+            stack.append((at if own else f"{at}\x1f{key}", member, f"{path}\x1f{key}"))
+
+
+def _row(payload, fields, wide: frozenset[str]):
+    """(column, value) pairs of a record."""
+    to = dict(fields or [])
+    for name, v in (_parse(payload) or {}).items():
+        yield from _members(to.get(name, name), v, wide)
+
+
+def _columns(wide: frozenset[str]):
+    def run(batches):
+        for batch in batches:
+            seen: dict[tuple, int] = {}
+            for file_id, payload, fields in zip(*(batch[c].to_pylist() for c in ("file_id", "payload", "fields")), strict=True):
+                for key, v in _row(payload, ((f["field_name"], f["canonical"]) for f in fields or []), wide):
+                    at = (file_id, key, "text" if isinstance(v, list) else leaf_of(v))
+                    seen[at] = seen.get(at, 0) + 1
+            cols = list(zip(*seen, strict=True)) if seen else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:]), pa.array(list(seen.values()), pa.int64())], ["file_id", "key", "leaf", "n"])
+
+    return run
+
+
+def _project(wide: frozenset[str]):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for payload, fields in zip(batch["payload"].to_pylist(), batch["fields"].to_pylist(), strict=True):
+                row = {key: _as_text(v) for key, v in _row(payload, ((f["field_name"], f["canonical"]) for f in fields or []), wide)}
+                out.append(list(row.items()))
+            yield pa.RecordBatch.from_arrays([batch["file_id"], batch["record_no"], pa.array(out, pa.map_(pa.string(), pa.string()))], ["file_id", "record_no", "row"])
+
+    return run
+
+
+#: Columns of the consistent table that are no fields; the last has what fits no column.
+LEAD, UNFIT = ("file_id", "record_no", "stream_id", "tool"), "unfit_values"
+
+
+def _names(keys: list[str]) -> dict[str, str]:
+    """key -> column name. A member's path is joined by '_'; a name already taken, in any case, gets a number."""
+    taken, out = {*LEAD, UNFIT}, {}
+    for key in sorted(keys, key=lambda k: ("\x1f" in k, k)):
+        name = f"field_{key}" if key in (*LEAD, UNFIT) else key.replace("\x1f", "_")
+        free, n = name, 2
+        while free.lower() in taken:
+            free, n = f"{name}_{n}", n + 1
+        taken.add(free.lower())
+        out[key] = free
+    return out
+
+
+def _bounded(rows: DataFrame) -> list:
+    """At most as many rows as the table may have columns."""
+    found = rows.limit(MAX_COLUMNS + 1).collect()
+    if len(found) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} different fields")
+    return found
 
 
 def consistent_table(files: DataFrame, records: DataFrame) -> DataFrame:
-    """file_id, record_no, stream_id, tool and one typed column per canonical field, for every record of every file.
+    """file_id, record_no, stream_id, tool, one typed column per canonical field and unfit_values, for every record of every file.
 
-    A column is double or boolean if most files hold such values in it, else string; wrapped single values (a list of one,
-    an object) are unwrapped, a stray value that doesn't fit the column's type is null. Fields named like the four leading
-    columns get the prefix ``field_``.
+    A column is double or boolean if most files hold such values in it, else string. Wrapped single values (a list of one, an
+    object of one key, an object's value key) are unwrapped, an object's other members have columns of their own, named
+    field_member; longer lists are JSON texts. A stray value that doesn't fit the column's type is null there and stands in
+    unfit_values, a JSON object of column -> value as text (null if all fit). Fields named like the five other columns get
+    the prefix ``field_``.
     """
     once = cut(records_once(records), "records")
     profile = cut(profiles(once), "profile")
     meta = cut(files_once(files), "files")
     plan = cut(projections(meta, profile, changes(meta, profile)), "projections")
-    kinds = plan.join(profile.select("file_id", F.col("path").alias("field_name"), "leaf"), ["file_id", "field_name"]).where("leaf IS NOT NULL").groupBy("canonical", "leaf").agg(F.count(F.lit(1)).alias("n"))
-    # as many rows as the table has columns
-    columns = plan.select("canonical").distinct().join(kinds.groupBy("canonical").agg(F.max(F.struct("n", "leaf"))["leaf"].alias("leaf")), "canonical", "left").orderBy("canonical").limit(MAX_COLUMNS + 1).collect()
-    if len(columns) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} different fields")
-    mapping = plan.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "canonical"))).alias("mapping"))
-    joined = once.join(mapping, "file_id", "left").select("file_id", "record_no", "payload", F.map_entries("mapping").alias("mapping"))
-    rows = joined.select("file_id", "record_no", "payload", F.col("mapping")).mapInArrow(_project_entries, "file_id bigint, record_no int, row map<string,string>")
+    # the places where objects have more than one key in all, by canonical name
+    nested = profile.where("instr(path, '\x1f') > 0").withColumn("field_name", F.substring_index("path", "\x1f", 1)).join(plan, ["file_id", "field_name"])
+    nested = nested.select(F.concat("canonical", F.expr("substring(path, length(field_name) + 1)")).alias("path"))
+    above = F.expr("substring_index(path, '\x1f', size(split(path, '\x1f')) - 1)")
+    wide = frozenset(r.above for r in _bounded(nested.distinct().groupBy(above.alias("above")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("above")))
+    mapping = plan.groupBy("file_id").agg(F.collect_list(F.struct("field_name", "canonical")).alias("fields"))
+    joined = once.join(mapping, "file_id", "left").select("file_id", "record_no", "payload", "fields")
+    counted = joined.mapInArrow(_columns(wide), "file_id bigint, key string, leaf string, n bigint").groupBy("file_id", "key", "leaf").agg(F.sum("n").alias("n"))
+    in_file = counted.groupBy("file_id", "key").agg(F.min(F.when(F.col("leaf").isNotNull(), F.struct((-F.col("n")).alias("n"), "leaf")))["leaf"].alias("leaf"))
+    kinds = in_file.groupBy("key", "leaf").agg(F.count("leaf").alias("n"))
+    columns = {r.key: r.leaf for r in _bounded(kinds.groupBy("key").agg(F.max(F.struct("n", "leaf"))["leaf"].alias("leaf")))}
+    names = _names(list(columns))
+    rows = joined.mapInArrow(_project(wide), "file_id bigint, record_no int, row map<string,string>")
     kind = {"number": "double", "bit": "double", "boolean": "boolean"}
-    lead = {"file_id", "record_no", "stream_id", "tool"}
-    fields = [F.expr(f"try_cast(row[{_quoted(c.canonical)}] AS {kind.get(c.leaf, 'string')})").alias(f"field_{c.canonical}" if c.canonical in lead else c.canonical) for c in columns]
-    return rows.join(meta.select("file_id", "stream_id", "tool"), "file_id", "left").select("file_id", "record_no", "stream_id", "tool", *fields)
+    fields = [F.expr(f"try_cast(row[{_quoted(k)}] AS {kind.get(columns[k], 'string')})").alias(name) for k, name in names.items()]
+    unfit = F.lit(None).cast("string")
+    if typed := [k for k in names if columns[k] in kind]:
+        # array_contains over literals, not one expression per column
+        of = {t: "array(" + ", ".join(_quoted(k) for k in typed if kind[columns[k]] == t) + ")" for t in ("double", "boolean")}
+        stray = " OR ".join(f"array_contains({keys}, k) AND try_cast(v AS {t}) IS NULL" for t, keys in of.items() if keys != "array()")
+        named = f"map_from_arrays(array({', '.join(map(_quoted, typed))}), array({', '.join(_quoted(names[k]) for k in typed)}))"
+        bad = f"array_sort(transform(filter(map_entries(row), e -> e.value IS NOT NULL AND exists(array(e.key), k -> exists(array(e.value), v -> {stray}))), e -> struct({named}[e.key] AS key, e.value AS value)))"
+        unfit = F.expr(f"CASE WHEN size({bad}) > 0 THEN to_json(map_from_entries({bad})) END")
+    return rows.join(meta.select("file_id", "stream_id", "tool"), "file_id", "left").select(*LEAD, *fields, unfit.alias(UNFIT))
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _project_entries(batches):
-    def pairs(batch):
-        lists = [[(e["key"], e["value"]) for e in m or []] for m in batch["mapping"].to_pylist()]
-        return pa.RecordBatch.from_arrays([batch["file_id"], batch["record_no"], batch["payload"], pa.array(lists, pa.map_(pa.string(), pa.string()))], ["file_id", "record_no", "payload", "mapping"])
-
-    return _project(pairs(b) for b in batches)

@@ -50,6 +50,23 @@ def test_consistent_table(spark):
     assert rows[3].ok is True and rows[2].field_tool == "b" and rows[1].tool == "tool"
 
 
+def test_consistent_table_keeps_every_member_and_stray_value(spark):
+    files = [(1, "s", 1), (2, "s", 2), (3, "s", 3), (4, "s", 4)]
+    records = [
+        (1, 1, {"p": {"rev": 2, "value": 6.5}, "m": {"mean": 1, "sd": 2}, "w": {"only": [3]}, "l": [1, 2]}),
+        (1, 2, {"p": {"value": 7, "rev": None}, "m": {"sd": 4}, "w": None, "l": [[8, 9]]}),
+        (2, 1, {"p": 5, "m": None, "l": [3, 4], "p_rev": "x"}), (3, 1, {"p": [4], "l": [5, 6]}), (4, 1, {"p": "see o'note", "l": []}),
+    ]
+    rows = {(r.file_id, r.record_no): r for r in D.consistent_table(*data(spark, files, records)).collect()}
+    assert {i: r.p for i, r in rows.items()} == {(1, 1): 6.5, (1, 2): 7.0, (2, 1): 5.0, (3, 1): 4.0, (4, 1): None}
+    a, b = rows[1, 1], rows[1, 2]
+    assert (a.m_mean, a.m_sd, a.w, a.l, a.p_rev_2) == (1.0, 2.0, 3.0, "[1, 2]", 2.0)
+    assert (b.m_mean, b.m_sd, b.l, b.p_rev_2) == (None, 4.0, "[8, 9]", None)
+    assert rows[2, 1].p_rev == "x"
+    assert json.loads(rows[4, 1].unfit_values) == {"p": "see o'note"} and {r.unfit_values for i, r in rows.items() if i != (4, 1)} == {None}
+    assert D.leaf_of({"rev": 2, "value": "x"}) == D.leaf_of({"value": "x", "rev": 2}) == "text"
+
+
 def test_empty_tables(spark):
     assert found(spark, [], []) == set()
     assert D.consistent_table(*data(spark, [], [])).count() == 0
