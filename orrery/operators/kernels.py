@@ -38,11 +38,12 @@ def spectral_init(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, dims:
     return y + rng.normal(0, 1e-4, y.shape)
 
 
-def umap_optimize(y: np.ndarray, src: np.ndarray, dst: np.ndarray, eps: np.ndarray, a: float, b: float, n_epochs: int, rng: np.random.Generator, learning_rate: float = 1.0, negatives: int = 5, repulsion: float = 1.0, moving: np.ndarray | None = None, pool: int | None = None) -> np.ndarray:
+def umap_optimize(y: np.ndarray, src: np.ndarray, dst: np.ndarray, eps: np.ndarray, a: float, b: float, n_epochs: int, rng: np.random.Generator, learning_rate: float = 1.0, negatives: int = 5, repulsion: float = 1.0, moving: np.ndarray | None = None, pool: int | None = None, against: np.ndarray | None = None) -> np.ndarray:
     """Sampled attraction and repulsion over ``n_epochs``; edges are drawn as often as their schedule says.
 
     One synchronous regime: the edges due in an epoch are applied in a few shuffled portions. With ``moving`` only those
-    rows move (the others are a fixed reference); negatives are drawn among the first ``pool`` rows.
+    rows move (the others are a fixed reference); negatives are drawn among the first ``pool`` rows, or among the rows of
+    ``against``, which are fixed and not part of ``y``.
     """
     y, n = y.astype(float).copy(), len(y)
     use = eps <= n_epochs
@@ -70,10 +71,13 @@ def umap_optimize(y: np.ndarray, src: np.ndarray, dst: np.ndarray, eps: np.ndarr
             _add(y, i, step_i)
             _add(y, j, -step_j)
             head = np.repeat(i, negatives)
-            other = rng.integers(0, pool, len(head))
-            ok = other != head
-            head, other = head[ok], other[ok]
-            diff = y[head] - y[other]
+            if against is not None:
+                diff = y[head] - against[rng.integers(0, len(against), len(head))]
+            else:
+                other = rng.integers(0, pool, len(head))
+                ok = other != head
+                head, other = head[ok], other[ok]
+                diff = y[head] - y[other]
             d2 = (diff * diff).sum(1)
             push = 2 * repulsion * b / ((0.001 + d2) * (a * d2**b + 1))
             step = alpha * np.where(d2[:, None] > 0, np.clip(push[:, None] * diff, -CLIP, CLIP), CLIP)

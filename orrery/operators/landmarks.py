@@ -129,7 +129,7 @@ def project_rows(model: LandmarkModel, query: DataFrame, transform_k: int | None
         placed = cut(projection.affine(knn, query, model.reference, model.fit.layout), "placed")
         if refinement_epochs <= 0:
             return placed.select("id", "features")
-        params = {x: model.fit.parameters[x] for x in ("a", "b", "learning_rate")}
+        params = {x: model.fit.parameters[x] for x in ("a", "b", "learning_rate", "negative_samples")}
         return refine_rows(placed, knn, model.fit.layout, seed, refinement_epochs, params)
     return projection.transform_tsne(model.fit.layout, knn, transform_perplexity, initialization, n_iter=transform_iter, seed=seed)
 

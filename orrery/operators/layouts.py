@@ -220,12 +220,17 @@ def embed_knn(knn: DataFrame, method: str = "umap", n_components: int = 2, seed:
 
 
 def refine_rows(layout: DataFrame, knn: DataFrame, reference: DataFrame, seed: int = 4, n_epochs: int = 50, parameters: dict | None = None) -> DataFrame:
-    """id, features: new rows moved by UMAP's forces towards their reference neighbours, which stay fixed.
+    """id, features: new rows moved by UMAP's forces among the reference rows, which stay fixed.
 
-    The directed graph of the new rows has its own scales. Rows don't feel one another, so they are refined batch by batch
+    The directed graph of the new rows has its own scales: each is pulled to its neighbours and, with every pull, pushed from
+    ``negative_samples`` rows drawn from the whole reference layout (at most FIT_ROWS rows, checked; broadcast). Rows don't feel one another, so they are refined batch by batch
     in any partitioning; each row draws its own random numbers from its id.
     """
     c = {"learning_rate": 1.0, "negative_samples": 5} | dict(zip("ab", fuzzy.find_ab(1.0, 0.01), strict=True)) | (parameters or {})
+    rows = reference.select("id", "features").orderBy("id").limit(FIT_ROWS + 1).toArrow()
+    if rows.num_rows > FIT_ROWS:
+        raise ValueError(f"more than {FIT_ROWS} reference rows")
+    shared = reference.sparkSession.sparkContext.broadcast(np.asarray(rows["features"].combine_chunks().flatten(), float).reshape(rows.num_rows, -1))
     edges = fuzzy.memberships(knn)
     top = edges.groupBy("src").agg(F.max("weight").alias("_top"))
     refs = reference.select(F.col("id").alias("dst"), F.col("features").alias("y"))
@@ -240,7 +245,7 @@ def refine_rows(layout: DataFrame, knn: DataFrame, reference: DataFrame, seed: i
                 m = len(near)
                 moving = np.array([1.0] + [0.0] * m)
                 rng = np.random.default_rng([seed, row & 0xFFFFFFFF])
-                y = kernels.umap_optimize(y, np.zeros(m, int), np.arange(1, m + 1), np.array([r["eps"] for r in near]), c["a"], c["b"], n_epochs, rng, c["learning_rate"], 0, moving=moving)
+                y = kernels.umap_optimize(y, np.zeros(m, int), np.arange(1, m + 1), np.array([r["eps"] for r in near]), c["a"], c["b"], n_epochs, rng, c["learning_rate"], c["negative_samples"], moving=moving, against=shared.value)
                 out.append(y[0].tolist())
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(out, pa.list_(pa.float64()))], ["id", "features"])
 

@@ -140,6 +140,20 @@ def test_cost_falls():
     assert costs[-1] < costs[2] and np.isfinite(costs).all()
 
 
+def test_refined_rows_are_pushed_too(spark):
+    rng = np.random.default_rng(6)
+    ref = np.concatenate([rng.normal(0, 0.3, (40, 2)), rng.normal(6, 0.3, (40, 2))])
+    feature = lambda x, first: spark.createDataFrame([(first + i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    start = feature(np.zeros((20, 2)) + rng.normal(0, 0.01, (20, 2)), 100)
+    near = spark.createDataFrame([(100 + i, j, j + 1, 0.5 + 0.1 * j) for i in range(20) for j in range(5)], "src_id long, nbr_id long, rank long, distance double")
+    run = lambda s, **p: {r.id: r.features for r in layouts.refine_rows(s, near, feature(ref, 0), parameters=p).collect()}
+    both, pull = run(start), run(start, negative_samples=0)
+    assert run(start.repartition(5)) == both
+    middle = ref[:5].mean(0)
+    spread = lambda rows: np.mean([np.linalg.norm(np.array(y) - middle) for y in rows.values()])
+    assert spread(both) > 1.2 * spread(pull)
+
+
 def test_landmarks_stay_and_cover(spark):
     df = table(spark, blobs(60))
     sel = landmarks.select_landmarks(df, 30)
