@@ -169,12 +169,16 @@ def changes(files: DataFrame, profile: DataFrame) -> DataFrame:
 def found_changes(files: DataFrame, records: DataFrame) -> DataFrame:
     """file_id, change_kind, field_name: the changes of top-level fields that are added, removed, renamed or retyped.
 
-    field_name is the name in that file, for removed the old one. Handles nulls, empty files, repeated records and files,
+    field_name is the name in that file, for removed the old one. A field that goes into an object is removed, one that comes
+    out of an object is added. Handles nulls, empty files, repeated records and files,
     unreadable payloads and empty tables as said in the functions above; other columns are ignored.
     """
     report = changes(files_once(files), profiles(records_once(records)))
-    top = report.where("instr(field_path, '\x1f') = 0 AND change_kind IN ('added', 'removed', 'renamed', 'retyped')")
-    return top.select("file_id", "change_kind", F.col("field_path").alias("field_name")).distinct()
+    edits = report.where("change_kind IN ('added', 'removed', 'renamed', 'retyped')").select("file_id", "change_kind", F.col("field_path").alias("field_name"))
+    moved = report.where("change_kind = 'moved'")
+    for kind, path in (("removed", "old_path"), ("added", "field_path")):
+        edits = edits.unionByName(moved.select("file_id", F.lit(kind).alias("change_kind"), F.col(path).alias("field_name")))
+    return edits.where("instr(field_name, '\x1f') = 0").distinct()
 
 
 def projections(files: DataFrame, profile: DataFrame, report: DataFrame) -> DataFrame:

@@ -42,6 +42,12 @@ def test_kind_is_remembered_through_a_rename_without_values(spark):
     assert found(spark, files, records) == {(2, "renamed", "p_raw"), (3, "retyped", "p_raw")}
 
 
+def test_moves_into_and_out_of_objects_are_found(spark):
+    files = [(1, "s", 1), (2, "s", 2), (3, "s", 3)]
+    records = [(1, 1, {"host": "a", "o": {"n": 1, "q": 2}}), (2, 1, {"o": {"n": 1, "q": 2, "host": "a"}}), (3, 1, {"host": "a", "o": {"n": 1, "q": 2}})]
+    assert found(spark, files, records) == {(2, "removed", "host"), (3, "added", "host")}
+
+
 def test_consistent_table(spark):
     files = [(1, "s", 1), (2, "s", 2), (3, "s", 3), (4, None, 1)]
     records = [(1, 1, {"raw_p": 5, "tool": "a"}), (2, 1, {"rawP": {"value": 6, "rev": 2}, "tool": "b"}), (3, 1, {"raw.p": ["7"], "tool": "c", "ok": True}), (4, 1, {"raw_p": 8})]
