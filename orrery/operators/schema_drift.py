@@ -96,8 +96,9 @@ def _profile(batches):
 
 
 def records_once(records: DataFrame) -> DataFrame:
-    """file_id, record_no, payload: each record once (of different payloads the one of least hash). Rows without file_id or payload are left out."""
-    w = Window.partitionBy("file_id", "record_no").orderBy(F.xxhash64("payload"))
+    """file_id, record_no, payload: each record once (of different payloads the one of least hash). Rows without file_id or payload are
+    left out; of those without record_no only equal payloads are one record."""
+    w = Window.partitionBy("file_id", "record_no", F.when(F.col("record_no").isNull(), F.sha2("payload", 256))).orderBy(F.xxhash64("payload"))
     return records.select("file_id", "record_no", "payload").where("file_id IS NOT NULL AND payload IS NOT NULL").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

@@ -48,6 +48,12 @@ def test_moves_into_and_out_of_objects_are_found(spark):
     assert found(spark, files, records) == {(2, "removed", "host"), (3, "added", "host")}
 
 
+def test_records_without_number_are_all_kept(spark):
+    files, records = [(1, "s", 1), (2, "s", 2)], [(1, 1, {"a": 1, "b": 2, "host": "x"}), (2, None, {"a": 1}), (2, None, {"b": 2}), (2, None, {"host": "x"}), (2, None, {"a": 1})]
+    assert D.records_once(data(spark, files, records)[1]).count() == 4
+    assert found(spark, files, records) == set()
+
+
 def test_consistent_table(spark):
     files = [(1, "s", 1), (2, "s", 2), (3, "s", 3), (4, None, 1)]
     records = [(1, 1, {"raw_p": 5, "tool": "a"}), (2, 1, {"rawP": {"value": 6, "rev": 2}, "tool": "b"}), (3, 1, {"raw.p": ["7"], "tool": "c", "ok": True}), (4, 1, {"raw_p": 8})]
