@@ -64,12 +64,16 @@ def leaf_of(value) -> str | None:
     return "bit" if kind == "number" and value in (0, 1) else kind
 
 
-def _paths(value: dict, above: str, depth: int):
-    for key, v in value.items():
-        path = f"{above}\x1f{key}" if above else key
-        yield path, v
-        if isinstance(v, dict) and depth:
-            yield from _paths(v, path, depth - 1)
+def _paths(record: dict):
+    """(path, value) of every field at any depth."""
+    stack = [("", record)]
+    while stack:
+        above, value = stack.pop()
+        for key, v in value.items():
+            path = f"{above}\x1f{key}" if above else key
+            yield path, v
+            if isinstance(v, dict):
+                stack.append((path, v))
 
 
 def _parse(payload):
@@ -88,7 +92,7 @@ def _profile(batches):
             if record is None:
                 continue
             seen[file_id, "", None, None] = seen.get((file_id, "", None, None), 0) + 1
-            for path, v in _paths(record, "", 3):
+            for path, v in _paths(record):
                 at = (file_id, path, kind_of(v), leaf_of(v))
                 seen[at] = seen.get(at, 0) + 1
         cols = list(zip(*seen, strict=True)) if seen else [[], [], [], []]

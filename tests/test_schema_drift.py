@@ -54,6 +54,13 @@ def test_records_without_number_are_all_kept(spark):
     assert found(spark, files, records) == set()
 
 
+def test_changes_of_deep_fields(spark):
+    deep = lambda v: {"a": {"b": {"c": {"d": {"e": {"f": v}}}}}}
+    f, r = data(spark, [(1, "s", 1), (2, "s", 2)], [(1, 1, deep(5)), (2, 1, deep("many"))])
+    got = D.changes(D.files_once(f), D.profiles(D.records_once(r))).collect()
+    assert [(e.change_kind, e.field_path, e.old_kind, e.new_kind) for e in got] == [("retyped", "a\x1fb\x1fc\x1fd\x1fe\x1ff", "number", "text")]
+
+
 def test_consistent_table(spark):
     files = [(1, "s", 1), (2, "s", 2), (3, "s", 3), (4, None, 1)]
     records = [(1, 1, {"raw_p": 5, "tool": "a"}), (2, 1, {"rawP": {"value": 6, "rev": 2}, "tool": "b"}), (3, 1, {"raw.p": ["7"], "tool": "c", "ok": True}), (4, 1, {"raw_p": 8})]
