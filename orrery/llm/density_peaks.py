@@ -1,11 +1,12 @@
 """Problem 5: clusters of similar rows by density peaks, with blocked neighbour joins.
 
-The distinct vectors of a dataset are hashed into blocks. Every block is joined with every block of its dataset on
-(dataset, block, side): a pair of blocks is one product of two matrices in one task, so the work spreads evenly however
-large a dataset is, and what leaves a task is a few neighbours per row, never the pairs. Pass one gives each row its scale
-(the distance within which three other rows lie; a small scale is a high density), pass two the nearest denser row.
-Pointers to denser rows that are long for the scale of their target are cut; following the others gives trees, and a
-tree whose peak lies apart from everything denser is a cluster.
+The distinct vectors of a dataset are hashed into blocks. Every pair of blocks of a dataset is one task's work (a few products
+of two matrices), so the work spreads evenly however large a dataset is, and what leaves a task is a few neighbours per row,
+never the pairs. Pass one gives each row its nearest neighbours and from them its scale (the distance within which three
+other rows lie; a small scale is a high density). A row's nearest denser row is mostly among those neighbours; pass two looks
+for it among all rows only for those whose known neighbours are all less dense and yet all lie within reach. Pointers to
+denser rows that are long for the scale of their target are cut; following the others gives trees, and a tree whose peak lies
+apart from everything denser is a cluster.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.rows import copies, latest_rows
+from orrery.llm.rows import doubles_of, latest_rows, points_of
 from orrery.plans.cut import cut
 from orrery.plans.pointers import follow
 from orrery.plans.sizing import heavy_partitions
@@ -31,10 +32,11 @@ APART, APART_WITH_EDGES = 1.4, 1.15
 #: An edge of at least this weight ties its ends together; so many of them tie an unusable row to a cluster.
 HEAVY_WEIGHT, SEVERAL = 0.2, 2
 MIN_ROWS = 4
+#: Neighbours of a row that pass one keeps (copies counted); any number from NEIGHBOURS on gives the same clusters.
 KEPT = 8
 
-
-CHUNK = 16
+#: Columns of a chunk whose least value is looked at first, and rows of a strip.
+CHUNK, STRIP = 16, 64
 
 
 def _matrix(column) -> np.ndarray:
@@ -43,192 +45,215 @@ def _matrix(column) -> np.ndarray:
 
 
 class _Block:
-    """Squared distances from strips of rows of ``x`` to the rows of ``y``, short of each row's own square.
+    """Squared distances from strips of rows to the rows of ``y``, short of each row's own square.
 
-    One matrix product in single precision per strip; what is chosen by it is measured again in double precision.
+    One matrix product in single precision per strip; what is chosen by it is measured again in double precision. Columns
+    are padded with infinity to whole chunks; chunk j has the columns j, j + width, j + 2 width and so on.
     """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        mean = y.mean(0, dtype=np.float64).astype(np.float32)
-        self.x, self.y = x - mean, y - mean
-        self.yt = np.empty((y.shape[1] + 1, len(y)), np.float32)
-        self.yt[:-1] = -2 * self.y.T
-        self.yt[-1] = np.einsum("ij,ij->i", self.y, self.y)
-        self.one = np.concatenate([self.x, np.ones((len(x), 1), np.float32)], 1)
-
-    def rough(self, rows: slice, columns: int) -> np.ndarray:
-        return self.one[rows] @ self.yt[:, :columns]
-
-    def exact(self, rows: slice, picked: np.ndarray) -> np.ndarray:
-        diff = self.y[picked].astype(np.float64) - self.x[rows, None].astype(np.float64)
+    def __init__(self, y: np.ndarray):
+        self.n, self.width = len(y), -(-len(y) // CHUNK)
+        self.mean = y.mean(0, dtype=np.float64).astype(np.float32)
+        self.y = y - self.mean
+        self.yt = np.zeros((y.shape[1] + 1, self.width * CHUNK), np.float32)
+        self.yt[:-1, : self.n] = -2 * self.y.T
+        self.yt[-1, : self.n] = np.einsum("ij,ij->i", self.y, self.y)
+        self.yt[-1, self.n :] = np.inf
+        self.room = np.empty((STRIP, self.width * CHUNK), np.float32)
+
+    def strips(self, x: np.ndarray, columns: int | None = None):
+        """(rows, centred x of those rows, rough distances to the first ``columns`` rows of y)."""
+        columns = self.width * CHUNK if columns is None else columns
+        for s in range(0, len(x), STRIP):
+            part = x[s : s + STRIP] - self.mean
+            rough = np.matmul(np.concatenate([part, np.ones((len(part), 1), np.float32)], 1), self.yt[:, :columns], out=self.room[: len(part), :columns])
+            yield slice(s, s + len(part)), part, rough
+
+    def exact(self, part: np.ndarray, picked: np.ndarray) -> np.ndarray:
+        diff = self.y[picked].astype(np.float64) - part[:, None].astype(np.float64)
         return np.einsum("bcd,bcd->bc", diff, diff)
 
-
-def _least(d: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k least values of each row: those lie in the k chunks of least minima."""
-    n = d.shape[1]
-    if n <= 4 * CHUNK * k:
-        return np.argpartition(d, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(d), 1))
-    whole = n // CHUNK
-    low = d[:, : whole * CHUNK].reshape(len(d), whole, CHUNK).min(2)
-    at = np.argpartition(low, k - 1, axis=1)[:, :k]
-    cols = (at[:, :, None] * CHUNK + np.arange(CHUNK)).reshape(len(d), -1)
-    if whole * CHUNK < n:
-        cols = np.concatenate([cols, np.tile(np.arange(whole * CHUNK, n), (len(d), 1))], 1)
-    pick = np.argpartition(np.take_along_axis(d, cols, 1), k - 1, axis=1)[:, :k]
-    return np.take_along_axis(cols, pick, 1)
-
-
-def _strips(rows: int, columns: int):
-    step = max(16, 4_000_000 // max(1, columns))
-    return (slice(s, min(rows, s + step)) for s in range(0, rows, step))
+    def nearest(self, x: np.ndarray, k: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(columns, squared distances) of the k nearest rows of y, nearest first; infinite where there are fewer. With
+        ``own``, x is y and a row isn't its own neighbour."""
+        cols, dist = [], []
+        # the k least values lie in the k chunks of least minima; one more of each, for what rounding may swap
+        chunks = min(k + 1, self.width)
+        for rows, part, rough in self.strips(x):
+            n = len(part)
+            if own:
+                rough[np.arange(n), np.arange(rows.start, rows.stop)] = np.inf
+            low = rough.reshape(n, CHUNK, self.width).min(1)
+            at = np.argpartition(low, chunks - 1, axis=1)[:, :chunks]
+            inside = (at[:, :, None] + self.width * np.arange(CHUNK)).reshape(n, -1)
+            few = np.take_along_axis(rough, inside, 1)
+            m = min(k + 1, inside.shape[1])
+            part_of = np.argpartition(few, m - 1, axis=1)[:, :m]
+            pick = np.take_along_axis(inside, part_of, 1)
+            there = np.isfinite(np.take_along_axis(few, part_of, 1))
+            pick = np.minimum(pick, self.n - 1)
+            d2 = np.where(there, self.exact(part, pick), np.inf)
+            order = np.argsort(d2, axis=1)[:, :k]
+            cols.append(np.take_along_axis(pick, order, 1))
+            dist.append(np.take_along_axis(d2, order, 1))
+        return np.concatenate(cols), np.concatenate(dist)
+
+
+NEAR = "rep bigint, dataset string, n_copies bigint, near array<struct<d2:double,to:bigint>>"
 
 
 def _nearest(kept: int):
-    """Of each row of the left block the ``kept`` nearest other rows of the right block, with their copies."""
-
-    def run(key, left, right):
-        out = {"rep": [], "d2": [], "m": []}
-        if left.num_rows and right.num_rows:
-            a, b, m = left["rep"].to_numpy(), right["rep"].to_numpy(), right["n_copies"].to_numpy()
-            block, k = _Block(_matrix(left["v"]), _matrix(right["v"])), min(kept, len(b))
-            place = np.argsort(b)
-            for rows in _strips(len(a), len(b)):
-                d = block.rough(rows, len(b))
-                own = place[np.minimum(np.searchsorted(b, a[rows], sorter=place), len(b) - 1)]
-                self_ = np.flatnonzero(b[own] == a[rows])
-                d[self_, own[self_]] = np.inf
-                pick = _least(d, k)
-                d2 = block.exact(rows, pick)
-                ok = np.isfinite(np.take_along_axis(d, pick, 1))
-                out["rep"].append(np.repeat(a[rows], k)[ok.ravel()])
-                out["d2"].append(d2[ok])
-                out["m"].append(m[pick][ok])
-        cat = lambda c, t: np.concatenate(out[c]).astype(t) if out[c] else np.zeros(0, t)
-        return pa.table({"rep": cat("rep", np.int64), "d2": cat("d2", np.float64), "m": cat("m", np.int64)})
+    """Of each row of either block the ``kept`` nearest other rows of the other one; a neighbour of several copies comes so
+    many times, NEIGHBOURS times at most."""
+
+    def lists(rep, n_copies, dataset, other, other_copies, cols, d2):
+        ok = np.isfinite(d2)
+        times = np.where(ok, np.minimum(other_copies[cols], NEIGHBOURS), 0)
+        lengths = times.sum(1)
+        flat = times.ravel()
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(np.repeat(d2.ravel(), flat)), pa.array(np.repeat(other[cols.ravel()], flat))], ["d2", "to"])
+        return pa.table({"rep": rep, "dataset": pa.repeat(dataset, len(rep)), "n_copies": n_copies, "near": pa.ListArray.from_arrays(pa.array(ends), pairs)})
+
+    def run(key, t):
+        t = t.sort_by("rep")
+        block, rep, n, x = t["block"].to_numpy(), t["rep"].to_numpy(), t["n_copies"].to_numpy(), _matrix(t["v"])
+        if key[1].as_py() == key[2].as_py():
+            return lists(rep, n, key[0], rep, n, *_Block(x).nearest(x, kept, own=True))
+        low, out = block == key[1].as_py(), []
+        for a, b in ((low, ~low), (~low, low)):
+            if a.any() and b.any():
+                out.append(lists(rep[a], n[a], key[0], rep[b], n[b], *_Block(x[b]).nearest(x[a], kept, own=False)))
+        return pa.concat_tables(out) if out else lists(rep[:0], n[:0], key[0], rep, n, np.zeros((0, 1), int), np.zeros((0, 1)))
 
     return run
 
 
-def _nearest_denser(key, left, right):
-    """Of each row of the left block the nearest denser row of the right block. Density falls with scale, then rep."""
-    out = {"rep": [], "d2": [], "to": []}
-    if left.num_rows and right.num_rows:
-        left, right = (t.sort_by([("scale", "ascending"), ("rep", "ascending")]) for t in (left, right))
-        a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
-        denser = np.empty(len(a), np.int64)  # how many right rows are denser: they come first
-        order = np.lexsort((np.concatenate([b, a]), np.concatenate([right["scale"].to_numpy(), left["scale"].to_numpy()])))
-        is_right = order < len(b)
-        before = np.cumsum(is_right)
-        denser[order[~is_right] - len(b)] = before[~is_right]
-        # in its own block a row sorts after its twin on the right, which is not denser than itself
-        place = np.argsort(b)
-        twin = place[np.minimum(np.searchsorted(b, a, sorter=place), len(b) - 1)]
-        denser = np.where(b[twin] == a, np.minimum(denser, twin), denser)
-        block = _Block(_matrix(left["v"]), _matrix(right["v"]))
-        for rows in _strips(len(a), len(b)):
-            most = int(denser[rows].max())
-            if not most:
+def _nearest_denser(key, t):
+    """Of each asking row the nearest denser row of the block. Density falls with scale, then rep."""
+    out = {"rep": [np.zeros(0, np.int64)], "d2": [np.zeros(0)], "to": [np.zeros(0, np.int64)], "target": [np.zeros(0)]}
+    t = t.sort_by([("scale", "ascending"), ("rep", "ascending"), ("asks", "ascending")])
+    asks = t["asks"].to_numpy(zero_copy_only=False)
+    x, rep, scale = _matrix(t["v"]), t["rep"].to_numpy(), t["scale"].to_numpy()
+    # a row's twin in the block stands right before it, if it is there: only what is before that is denser
+    before = np.cumsum(~asks)[asks]
+    a, b = rep[asks], rep[~asks]
+    if len(a) and len(b):
+        denser = before - ((before > 0) & (b[np.maximum(before - 1, 0)] == a))
+        block = _Block(x[~asks])
+        for rows, part, rough in block.strips(x[asks], int(denser.max())):
+            here = denser[rows]
+            if not here.max():
                 continue
-            d = block.rough(rows, most)
-            least = int(denser[rows].min())
-            d[:, least:][np.arange(least, most)[None] >= denser[rows, None]] = np.inf
-            at = d.argmin(1)
-            ok = denser[rows] > 0
-            d2 = block.exact(rows, at[:, None])[:, 0]
+            least = int(here.min())
+            rough[:, least:][np.arange(least, rough.shape[1])[None] >= here[:, None]] = np.inf
+            at, ok = rough.argmin(1), here > 0
             out["rep"].append(a[rows][ok])
-            out["d2"].append(d2[ok])
+            out["d2"].append(block.exact(part, at[:, None])[:, 0][ok])
             out["to"].append(b[at][ok])
-    cat = lambda c, t: np.concatenate(out[c]).astype(t) if out[c] else np.zeros(0, t)
-    return pa.table({"rep": cat("rep", np.int64), "d2": cat("d2", np.float64), "to": cat("to", np.int64)})
-
-
-def _blocked(points: DataFrame, columns: list[str], kernel, schema: str) -> DataFrame:
-    """Each block of a dataset with each of its blocks; points have dataset, block, blocks and ``columns``."""
-    units = points.select("dataset", "blocks").distinct().agg(F.coalesce(F.sum(F.col("blocks") * F.col("blocks")), F.lit(0))).first()[0]
-    n = heavy_partitions(points.sparkSession, 2 * units)
-    keys = ["dataset", "block", "side"]
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = points.withColumn("side", every).select(*keys, *columns).repartition(n, *keys)
-    right = points.withColumn("side", F.col("block")).withColumn("block", every).select(*keys, *columns).repartition(n, *keys)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, schema)
+            out["target"].append(scale[~asks][at][ok])
+    return pa.table({c: np.concatenate(v) for c, v in out.items()})
 
 
 def scales(points: DataFrame) -> DataFrame:
-    """rep, scale: the distance within which NEIGHBOURS other rows lie, copies counted.
+    """rep, dataset, n_copies, near, scale: the KEPT nearest neighbours (squared distance, rep) of each point and the distance
+    within which NEIGHBOURS other rows lie, copies counted.
 
-    A vector of more copies than that gets the distance of its nearest other vector, or 0 if there is none; a vector in a
-    dataset of too few rows the distance of its farthest neighbour, or null if it is alone.
+    A vector of more copies than that gets the distance of its nearest other vector; a vector in a dataset of too few rows the
+    distance of its farthest neighbour. A vector that is alone in its dataset has no scale and no row.
     """
-    near = _blocked(points, ["rep", "n_copies", "v"], _nearest(KEPT), "rep bigint, d2 double, m bigint")
-    w = Window.partitionBy("rep").orderBy("d2")
-    upto = F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    few = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= KEPT)
-    counted = few.withColumn("_upto", upto).join(points.select("rep", "n_copies"), "rep")
-    inside = F.col("_upto") + F.col("n_copies") - 1 >= NEIGHBOURS
-    return counted.groupBy("rep").agg(F.sqrt(F.coalesce(F.min(F.when(inside, F.col("d2"))), F.max("d2"))).alias("scale"))
-
-
-def usable_edges(edges: DataFrame) -> DataFrame:
-    """dataset, a, b, weight: undirected edges between different rows, with their greatest usable weight, heavy ones only.
-
-    A null, NaN or negative weight is not usable; repeats and the other direction are the same edge.
+    units = points.select("dataset", "blocks").distinct().agg(F.coalesce(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2), F.lit(0))).first()[0]
+    keys = ["dataset", "low", "high"]
+    met = points.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("dataset", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "n_copies", "v")
+    found = met.repartition(heavy_partitions(points.sparkSession, 2 * units), *keys).groupBy(*keys).applyInArrow(_nearest(KEPT), NEAR)
+    near = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, KEPT)
+    merged = found.groupBy("rep", "dataset", "n_copies").agg(near.alias("near")).where("size(near) > 0")
+    third = F.greatest(F.lit(1), F.least(F.lit(NEIGHBOURS + 1) - F.col("n_copies"), F.size("near"))).cast("int")
+    return merged.withColumn("scale", F.sqrt(F.element_at("near", third)["d2"]))
+
+
+def nearest_denser(points: DataFrame, scaled: DataFrame) -> DataFrame:
+    """rep, dataset, n_copies, scale, delta, to, target: the nearest denser row within REACH scales, its distance and its scale;
+    null where there is none. ``scaled`` is :func:`scales` (cut). Farther rows can be nobody's target: a target is denser."""
+    own = scaled.select("rep", "dataset", "n_copies", "scale")
+    limit = REACH * F.col("scale")
+    within = scaled.select("rep", "scale", F.inline("near")).where(F.sqrt("d2") <= limit)
+    target = own.select(F.col("rep").alias("to"), F.col("scale").alias("target"))
+    met = within.join(target, "to").where("target < scale OR target = scale AND to < rep").select("rep", "d2", "to", "target")
+    known = met.groupBy("rep").agg(F.min(F.struct("d2", "to", "target")).alias("near"))
+    full = (F.size("near") >= KEPT) & (F.sqrt(F.element_at("near", -1)["d2"]) <= limit)
+    first = scaled.withColumn("asks", full).select("rep", "dataset", "n_copies", "scale", "asks").join(known, "rep", "left").withColumn("asks", F.col("asks") & F.col("near").isNull())
+    first = cut(first, "denser")
+
+    ask = first.where("asks").groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
+    placed = points.join(first.select("rep", "scale", "asks"), "rep").join(ask, "dataset").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int"))
+    met_as = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.col("block").alias("block"), p.alias("part"), F.lit(False).alias("asks")))
+    asks_as = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.col("part").alias("part"), F.lit(True).alias("asks")))
+    roles = F.when(F.col("asks"), F.concat(met_as, asks_as)).otherwise(met_as)
+    keys = ["dataset", "block", "part"]
+    sent = placed.select("dataset", F.inline(roles).alias("block", "part", "asks"), "rep", "scale", "v")
+    far = sent.repartition(heavy_partitions(points.sparkSession), *keys).groupBy(*keys).applyInArrow(_nearest_denser, "rep bigint, d2 double, to bigint, target double")
+    best = far.groupBy("rep").agg(F.min(F.struct("d2", "to", "target")).alias("_far"))
+    near = F.coalesce("near", F.when(F.sqrt("_far.d2") <= limit, F.col("_far")))
+    return first.join(best, "rep", "left").select("rep", "dataset", "n_copies", "scale", near.alias("near")).select("rep", "dataset", "n_copies", "scale", F.sqrt("near.d2").alias("delta"), "near.to", "near.target")
+
+
+def heavy_edges(edges: DataFrame) -> DataFrame:
+    """dataset, a, b, weight: every heavy edge between different rows, in both directions, repeats and all.
+
+    A null, NaN or negative weight is not usable.
     """
     ok = F.col("from_id").isNotNull() & F.col("to_id").isNotNull() & (F.col("from_id") != F.col("to_id")) & (F.col("weight") >= HEAVY_WEIGHT) & ~F.isnan("weight")
-    return edges.where(ok).groupBy("dataset", F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).agg(F.max("weight").alias("weight"))
+    used = edges.select("dataset", "from_id", "to_id", "weight").where(ok)
+    return used.select("dataset", F.inline(F.array(F.struct(F.col("from_id").alias("a"), F.col("to_id").alias("b")), F.struct(F.col("to_id").alias("a"), F.col("from_id").alias("b")))), "weight")
 
 
 def clusters(matrix: DataFrame, edges: DataFrame) -> DataFrame:
     """row_id, dataset, cluster_id, scale: the rows that belong to a cluster, whose id is its smallest row_id.
 
     ``scale`` is null for an unusable row, which belongs to the cluster that SEVERAL heavy edges tie it to (of two, to the
-    one of greater total weight, then of smaller id). All other rows belong to none and are not in the result.
+    one of greater total weight, then of smaller id). All other rows belong to none and are not in the result. An edge may
+    come more than once, in either direction; its greatest usable weight holds.
 
     Which rows count: see :func:`orrery.llm.rows.latest_rows`. Exact copies are one point with a count, so a vector that
     a third of all rows share costs no more than one row. Empty tables give an empty result.
     """
     rows = cut(latest_rows(matrix), "cluster-rows")
-    distinct, owned, _ = copies(rows, 1)
-    owned = cut(owned, "cluster-owned")
+    doubles = cut(doubles_of(rows), "cluster-copies")
     # how many blocks a dataset has follows from its rows; a small table
-    sizes = cut(owned.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")), "cluster-sizes")
-    points = cut(distinct.join(sizes, "dataset").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "cluster-points")
-    scaled = cut(points.join(cut(scales(points), "scales"), "rep").where("scale IS NOT NULL"), "cluster-scaled")
-
-    met = _blocked(scaled, ["rep", "scale", "v"], _nearest_denser, "rep bigint, d2 double, to bigint")
-    nearest = met.groupBy("rep").agg(F.min(F.struct("d2", "to")).alias("near")).select("rep", F.sqrt("near.d2").alias("delta"), "near.to")
-    own = scaled.select("rep", "dataset", "n_copies", "scale")
-    pointed = own.join(nearest, "rep", "left")
-    target = own.select(F.col("rep").alias("to"), F.col("scale").alias("_target"))
-    pointed = cut(pointed.join(target, "to", "left").select("rep", "dataset", "n_copies", "scale", "delta", F.when(F.col("delta") <= REACH * F.col("_target"), F.col("to")).alias("to")), "pointers")
-
-    peaks = follow(pointed, "rep", "to", "peak")
-    by_row = cut(owned.join(peaks, "rep").join(own.select("rep", "scale"), "rep").select("row_id", "dataset", "peak", "scale"), "labelled")
-    heavy = cut(usable_edges(edges), "heavy-edges")
-    end = by_row.select("row_id", "peak")
-    inside = heavy.join(end.select(F.col("row_id").alias("a"), F.col("peak").alias("pa")), "a").join(end.select(F.col("row_id").alias("b"), F.col("peak").alias("pb")), "b").where("pa = pb")
-    ties = inside.groupBy(F.col("pa").alias("peak")).agg(F.count(F.lit(1)).alias("ties"))
-    trees = by_row.groupBy("peak").agg(F.count(F.lit(1)).alias("size"), F.min("row_id").alias("cluster_id"))
-    ratio = F.when(F.col("delta").isNull(), float("inf")).when(F.col("scale") > 0, F.col("delta") / F.col("scale")).otherwise(float("inf"))
-    peak = pointed.select(F.col("rep").alias("peak"), "n_copies", ratio.alias("apart"))
-    lies_apart = (F.col("apart") >= APART) | ((F.col("apart") >= APART_WITH_EDGES) & (F.coalesce("ties", F.lit(0)) >= F.col("size") - 1))
-    good = cut(trees.where(F.col("size") >= MIN_ROWS).join(peak, "peak").join(ties, "peak", "left").where(lies_apart).select("peak", "cluster_id"), "good-trees")
-    members = cut(by_row.join(good, "peak").select("row_id", "dataset", "cluster_id", "scale"), "members")
+    sizes = rows.where("usable").groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    points = cut(points_of(rows, doubles).join(sizes, "dataset").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "cluster-points")
+    denser = nearest_denser(points, cut(scales(points), "scales"))
+    pointed = denser.select("rep", "dataset", "n_copies", "scale", F.when(F.col("delta") <= REACH * F.col("target"), F.col("to")).alias("to"), F.coalesce(F.try_divide("delta", "scale"), F.lit(float("inf"))).alias("apart"))
+    linked = follow(pointed, "rep", "to", "peak", ["dataset", "n_copies", "scale", "apart"])
+
+    trees = linked.groupBy("peak").agg(F.sum("n_copies").alias("size"), F.min("rep").alias("cluster_id"), F.max(F.when(F.col("rep") == F.col("peak"), F.col("apart"))).alias("apart"))
+    trees = cut(trees.where((F.col("size") >= MIN_ROWS) & (F.col("apart") >= APART_WITH_EDGES)), "trees")
+    every = cut(linked.drop("apart").join(trees, "peak").select("rep", "dataset", "peak", "cluster_id", "scale", "size", "apart"), "in-trees")
+    owned = every.unionByName(doubles.where("row_id <> rep").join(every, "rep").select(F.col("row_id").alias("rep"), "dataset", "peak", "cluster_id", "scale", "size", "apart")).withColumnRenamed("rep", "row_id")
+    heavy = heavy_edges(edges)
+    # edges are counted only in the trees that need them
+    near = owned.where(F.col("apart") < APART).select("row_id", "peak", "size")
+    inside = heavy.where("a < b").join(near.select(F.col("row_id").alias("a"), "peak", "size"), "a").join(near.select(F.col("row_id").alias("b"), F.col("peak").alias("pb")), "b").where("peak = pb")
+    tied_trees = inside.groupBy("peak", "size").agg(F.count_distinct("a", "b").alias("ties")).where("ties >= size - 1").select("peak")
+    held = owned.join(cut(tied_trees, "tied-trees").withColumn("_tied", F.lit(True)), "peak", "left").where((F.col("apart") >= APART) | F.col("_tied"))
+    members = held.select("row_id", "dataset", "cluster_id", "scale")
     # copies enough for a cluster lie nearer to one another than to all else, wherever they lie
-    lone = points.where(F.col("n_copies") >= MIN_ROWS).join(members.select(F.col("row_id").alias("rep")), "rep", "left_anti").select("rep")
-    alone = owned.join(lone, "rep").select("row_id", "dataset", F.col("rep").alias("cluster_id"), F.lit(0.0).alias("scale"))
+    many = doubles.where(F.col("n_copies") >= MIN_ROWS)
+    alone = many.join(members.select(F.col("row_id").alias("rep")), "rep", "left_anti")
+    alone = alone.join(rows.select("row_id", "dataset"), "row_id").select("row_id", "dataset", F.col("rep").alias("cluster_id"), F.lit(0.0).alias("scale"))
     members = cut(members.unionByName(alone), "members")
 
-    loose = rows.where("NOT usable").select("row_id", "dataset")
-    both = heavy.select("dataset", "a", "b", "weight").unionByName(heavy.select("dataset", F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    tied = both.join(loose.select(F.col("row_id").alias("a"), "dataset"), ["a", "dataset"]).join(members.select(F.col("row_id").alias("b"), "dataset", "cluster_id"), ["b", "dataset"])
-    votes = tied.groupBy("a", "dataset", "cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).where(F.col("n") >= SEVERAL)
+    loose = rows.where("NOT usable").select(F.col("row_id").alias("a"), "dataset")
+    tied = heavy.join(loose, ["a", "dataset"]).join(members.select(F.col("row_id").alias("b"), "dataset", "cluster_id"), ["b", "dataset"])
+    edge = tied.groupBy("a", "dataset", "cluster_id", "b").agg(F.max("weight").alias("weight"))
+    votes = edge.groupBy("a", "dataset", "cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).where(F.col("n") >= SEVERAL)
     best = votes.groupBy("a", "dataset").agg(F.max(F.struct("w", (-F.col("cluster_id")).alias("c"))).alias("best"))
-    joined = best.select(F.col("a").alias("row_id"), "dataset", (-F.col("best.c")).alias("cluster_id"), F.lit(None).cast("double").alias("scale"))
-    every = members.unionByName(joined)
+    joined = cut(best.select(F.col("a").alias("row_id"), "dataset", (-F.col("best.c")).alias("cluster_id"), F.lit(None).cast("double").alias("scale")), "tied-rows")
     # an unusable row may have the smallest id of all
     renamed = joined.groupBy("cluster_id").agg(F.min("row_id").alias("_least")).where("_least < cluster_id")
-    return every.join(renamed, "cluster_id", "left").select("row_id", "dataset", F.coalesce("_least", "cluster_id").alias("cluster_id"), "scale")
+    return members.unionByName(joined).join(renamed, "cluster_id", "left").select("row_id", "dataset", F.coalesce("_least", "cluster_id").alias("cluster_id"), "scale")
 
 
 def described(members: DataFrame, typical: int = 3) -> DataFrame:

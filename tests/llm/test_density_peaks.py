@@ -1,15 +1,29 @@
 import numpy as np
 
-from orrery.llm.density_peaks import _least, cluster_pairs, clusters, described
+from orrery.llm import density_peaks
+from orrery.llm.density_peaks import _Block, cluster_pairs, clusters, described
 
 MATRIX = "row_id long, dataset string, ncol int, matrix_values array<float>, probe boolean, loaded_at timestamp, scale string, peak string"
 EDGES = "dataset string, from_id long, to_id long, weight double, peak string"
 
 
-def test_least_columns_are_the_least():
-    d = np.random.default_rng(0).normal(size=(20, 1003)).astype(np.float32)
-    got = np.sort(np.take_along_axis(d, _least(d, 8), 1), 1)
-    assert np.array_equal(got, np.sort(d, 1)[:, :8])
+def test_nearest_columns_are_the_nearest():
+    x = np.random.default_rng(0).normal(size=(1003, 5)).astype(np.float32)
+    d = ((x[:200, None].astype(float) - x[None]) ** 2).sum(2)
+    got = _Block(x).nearest(x[:200], 8, own=False)
+    assert np.allclose(got[1], np.sort(d, 1)[:, :8], atol=1e-5) and (got[0][:, 0] == np.arange(200)).all()
+    few = _Block(x[:3]).nearest(x[:3], 8, own=True)
+    assert np.isfinite(few[1]).sum() == 6 and (np.isfinite(few[1]).sum(1) == 2).all()
+
+
+def test_blocks_and_kept_neighbours_change_nothing(spark, monkeypatch):
+    matrix, edges, *_ = make(spark, 3)
+    rows = lambda: sorted(map(tuple, clusters(matrix, edges).drop("scale").collect()))
+    want = rows()
+    for block, kept in ((25, 8), (7, 3), (60, 4), (1000, 30)):
+        monkeypatch.setattr(density_peaks, "BLOCK_ROWS", block)
+        monkeypatch.setattr(density_peaks, "KEPT", kept)
+        assert rows() == want
 
 
 def make(spark, seed=0):
