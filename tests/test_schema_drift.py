@@ -113,16 +113,26 @@ def test_pairing_is_the_cheapest(seed):
     assert len(set(got)) == 4 and sum(c[i, j] for i, j in enumerate(got)) == best
 
 
-def test_looking_back_over_ranges_equals_a_loop(spark):
+@pytest.fixture(params=["true", "false"])
+def ranges(spark, request):
+    """One range, as small tables get it, and several."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", request.param)
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_looking_back_over_ranges_equals_a_loop(spark, ranges):
     import numpy as np
 
-    from orrery.plans.ranged import carried
+    from pyspark.sql import functions as F
+
+    from orrery.plans.ranged import carried, summed_before
 
     rng = np.random.default_rng(3)
     rows = [("hot" if rng.random() < 0.8 else f"g{int(rng.integers(4))}", i, None if rng.random() < 0.6 else int(rng.integers(100))) for i in range(300)]
     df = spark.createDataFrame(rows, "g string, t long, v long").repartition(5)
-    for current, split in ((True, 20), (False, 20), (True, 1000), (False, 1000)):
-        got = {r.t: r.o for r in carried(df, ["g"], ["t"], {"v": "o"}, current, split).collect()}
+    for current in (True, False):
+        got = {r.t: r.o for r in carried(df, ["g"], ["t"], {"v": "o"}, current).collect()}
         last: dict = {}
         for g, t, v in rows:
             if current and v is not None:
@@ -130,3 +140,6 @@ def test_looking_back_over_ranges_equals_a_loop(spark):
             assert got[t] == last.get(g)
             if v is not None:
                 last[g] = v
+    got = {r.t: r.o for r in summed_before(df.where("v IS NOT NULL"), ["g"], [F.col("t").desc()], "v", "o").collect()}
+    assert got == {t: sum(w for h, u, w in rows if h == g and u > t and w is not None) for g, t, v in rows if v is not None}
+    assert carried(df.where("t < 0"), ["g"], ["t"], {"v": "o"}, True).count() == 0 == summed_before(df.where("t < 0"), ["g"], ["t"], "v", "o").count()
