@@ -7,13 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.ordering import ordered_bits
-from orrery.llm.top_per_group import SPLIT_ROWS
 from orrery.plans.cut import cut
+from orrery.plans.ranged import summed_before
 
 SCORES = ("trust", "continuity", "preservation", "label_accuracy")
-#: Bits below the digit that splits a large group: sign, exponent and 16 bits of mantissa stay.
-BUCKET_SHIFT = 36
+#: Decimal digits below the first digit of an item's largest thread that a sum keeps (a double has 17 in all).
+DIGITS = 27
+
+
+def _exponent(x: Column) -> Column:
+    """About the decimal exponent of a finite double; null for 0."""
+    return F.when(x != 0, F.floor(F.log10(F.abs(x))).cast("int"))
+
+
+def _shifted(x: Column, by: Column) -> Column:
+    """The finite double ``x``, as it is written, times ten to the power ``by``, as a whole number."""
+    text = x.cast("string")
+    own = F.when(F.instr(text, "E") > 0, F.substring_index(text, "E", -1).cast("int")).otherwise(0)
+    return F.concat(F.substring_index(text, "E", 1), F.lit("E"), own + by).cast("decimal(38,0)")
 
 
 def item_scores(accum: DataFrame) -> DataFrame:
@@ -23,46 +34,43 @@ def item_scores(accum: DataFrame) -> DataFrame:
     sums over its count, label_accuracy_n for label accuracy, else scored. Threads with a count of null or 0 add nothing to
     that score. A null sum adds nothing; a NaN or infinite one makes the item's score a missing one. Items whose trust,
     continuity and preservation are all missing don't count. Rows without panel_id or item_id are left out. Sums are taken
-    in decimals of 12 places, so that they don't depend on the order of the rows.
+    in decimals relative to the item's own largest thread, whatever the scale, so they don't depend on the order of the rows;
+    what lies DIGITS digits below that thread is rounded.
     """
     sums = {"trust": "trust_sum", "continuity": "continuity_sum", "preservation": "preservation_sum", "label_accuracy": "label_accuracy_sum"}
     counts = {s: "label_accuracy_n" if s == "label_accuracy" else "scored" for s in SCORES}
     cols = ["panel_id", "item_id", "thread_id", "scored_at", "scored", "label_accuracy_n", *sums.values()]
     rows = accum.select(*cols).where("panel_id IS NOT NULL AND item_id IS NOT NULL")
     w = Window.partitionBy("panel_id", "item_id", "thread_id").orderBy(F.col("scored_at").desc_nulls_last(), F.xxhash64(*cols))
-    rows = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    rows = cut(rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n"), "threads")
+    item = ["panel_id", "item_id"]
+    used = {s: (F.col(counts[s]) > 0) & F.col(sums[s]).isNotNull() for s in SCORES}
+    finite = {s: used[s] & ~F.isnan(F.col(sums[s])) & (F.abs(F.col(sums[s])) < float("inf")) for s in SCORES}
+    top = rows.groupBy(*item).agg(*[F.max(F.when(finite[s], _exponent(F.col(sums[s])))).alias(f"_{s}_top") for s in SCORES])
     parts = []
     for s in SCORES:
-        x, c = F.col(sums[s]), F.col(counts[s])
-        used = c > 0
-        finite = used & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e25)
         parts += [
-            F.sum(F.when(finite, x).otherwise(0.0).cast("decimal(38,12)")).alias(f"_{s}"),
-            F.sum(F.when(used & x.isNotNull(), c.cast("bigint")).otherwise(0)).alias(f"_{s}_n"),
-            F.max(F.when(used & x.isNotNull() & ~finite, 1).otherwise(0)).alias(f"_{s}_bad"),
+            F.sum(F.when(finite[s], _shifted(F.col(sums[s]), F.lit(DIGITS) - F.col(f"_{s}_top")))).alias(f"_{s}"),
+            F.max(f"_{s}_top").alias(f"_{s}_top"),
+            F.sum(F.when(used[s], F.col(counts[s]).cast("bigint")).otherwise(0)).alias(f"_{s}_n"),
+            F.max(F.when(used[s] & ~finite[s], 1).otherwise(0)).alias(f"_{s}_bad"),
         ]
-    added = rows.groupBy("panel_id", "item_id").agg(*parts)
-    mean = lambda s: F.when((F.col(f"_{s}_n") > 0) & (F.col(f"_{s}_bad") == 0), F.col(f"_{s}").cast("double") / F.col(f"_{s}_n")).alias(s)
-    return added.select("panel_id", "item_id", *[mean(s) for s in SCORES]).where("trust IS NOT NULL OR continuity IS NOT NULL OR preservation IS NOT NULL")
+    added = rows.join(top, item).groupBy(*item).agg(*parts)
+    total = lambda s: F.coalesce(F.concat(F.col(f"_{s}").cast("string"), F.lit("E"), F.col(f"_{s}_top") - DIGITS).cast("double"), F.lit(0.0))
+    mean = lambda s: F.when((F.col(f"_{s}_n") > 0) & (F.col(f"_{s}_bad") == 0), total(s) / F.col(f"_{s}_n")).alias(s)
+    return added.select(*item, *[mean(s) for s in SCORES]).where("trust IS NOT NULL OR continuity IS NOT NULL OR preservation IS NOT NULL")
 
 
-def positions(df: DataFrame, group: Sequence[str], value: str, out: str, ties: Sequence[Column] = (), descending: bool = True, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """``df`` with the position of each row in its group, by ``value`` (a finite double) and then ``ties``.
+def places(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
+    """``df`` with the place of each row in its group by ``value``, the highest first; equal values share the least place.
 
-    Without ``ties`` equal values share the least position. Groups of up to ``split_rows`` rows are ranked by a window.
-    A larger group is cut into buckets by the leading bits of the value; the positions before a bucket come from the
-    counts of the buckets, so no task ever sorts more than a bucket.
+    Equal values are counted before they are put in order, and the order is made over ranges, so neither a hot group nor a
+    hot value is held by one task.
     """
-    group = list(group)
-    large = cut(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > split_rows).select(*group, F.lit(True).alias("_large")), "large-groups")
-    bits = F.shiftright(ordered_bits(F.col(value)), BUCKET_SHIFT)
-    bucketed = df.join(large, group, "left").withColumn("_bucket", F.when(F.col("_large"), -bits if descending else bits).otherwise(F.lit(0).cast("bigint"))).drop("_large")
-    order = [F.col(value).desc() if descending else F.col(value), *ties]
-    nth = (F.row_number() if ties else F.rank()).over(Window.partitionBy(*group, "_bucket").orderBy(*order))
-    sizes = bucketed.join(large, group, "left_semi").groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")
-    offsets = cut(sizes.select(*group, "_bucket", before.alias("_before")), "rank-offsets")
-    return bucketed.withColumn("_nth", nth).join(offsets, [*group, "_bucket"], "left").withColumn(out, F.col("_nth") + F.coalesce("_before", F.lit(0))).drop("_bucket", "_nth", "_before")
+    keys = [*group, value]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    before = summed_before(counts, group, [F.col(value).desc()], "_c", "_before")
+    return df.join(before.select(*keys, (F.col("_before") + 1).alias(out)), keys)
 
 
 def fused(scores: DataFrame, names: Sequence[str] = SCORES, weights: dict[str, float] | None = None) -> DataFrame:
@@ -74,7 +82,7 @@ def fused(scores: DataFrame, names: Sequence[str] = SCORES, weights: dict[str, f
     weights = weights or {}
     stacked = ", ".join(f"'{n}', double(`{n}`), double({weights.get(n, 1.0)})" for n in names)
     long = scores.selectExpr("panel_id", "item_id", f"stack({len(names)}, {stacked}) AS (score_name, score, weight)").where("score IS NOT NULL AND weight > 0")
-    placed = positions(cut(long, "scores-long"), ["panel_id", "score_name"], "score", "place")
+    placed = places(cut(long, "scores-long"), ["panel_id", "score_name"], "score", "place")
     half = F.aggregate("_all", F.lit(0.0), lambda a, s: a + s["weight"]) / 2
     walk = F.aggregate(
         "_all",
@@ -92,5 +100,6 @@ def ranking(accum: DataFrame, by: str = "median") -> DataFrame:
     Ordered by the median rank, then the mean rank, then item_id; with ``by="mean"`` by the mean, then the median.
     """
     first, second = ("median_rank", "mean_rank") if by == "median" else ("mean_rank", "median_rank")
-    items = cut(fused(cut(item_scores(accum), "item-scores")), "fused")
-    return positions(items, ["panel_id"], first, "position", [F.col(second), F.col("item_id")], descending=False).select("panel_id", "item_id", F.col("position").cast("bigint").alias("position"), "median_rank", "mean_rank", "n_scores")
+    items = fused(cut(item_scores(accum), "item-scores")).withColumn("_one", F.lit(1).cast("bigint"))
+    placed = summed_before(items, ["panel_id"], [first, second, "item_id"], "_one", "_before")
+    return placed.select("panel_id", "item_id", (F.col("_before") + 1).alias("position"), "median_rank", "mean_rank", "n_scores")

@@ -52,7 +52,7 @@ parts AS (
   UNION ALL SELECT panel_id, item_id, 'preservation', preservation_sum, scored FROM once
   UNION ALL SELECT panel_id, item_id, 'label_accuracy', label_accuracy_sum, label_accuracy_n FROM once),
 summed AS (
-  SELECT panel_id, item_id, score_name, sum(CASE WHEN isnan(x) OR isinf(x) THEN 0 ELSE x END::DECIMAL(38, 12))::DOUBLE / sum(c) AS score
+  SELECT panel_id, item_id, score_name, printf('%.14e', fsum(CASE WHEN isnan(x) OR isinf(x) THEN 0 ELSE x END))::DOUBLE / sum(c) AS score
   FROM parts WHERE c > 0 AND x IS NOT NULL GROUP BY ALL HAVING max((isnan(x) OR isinf(x))::INT) = 0),
 counted AS (SELECT * FROM summed WHERE (panel_id, item_id) IN (SELECT (panel_id, item_id) FROM summed WHERE score_name <> 'label_accuracy')),
 placed AS (SELECT *, rank() OVER (PARTITION BY panel_id, score_name ORDER BY score DESC) AS place FROM counted),

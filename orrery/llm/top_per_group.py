@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from orrery.plans.cut import cut
 
-#: Rows of a group from which it is hashed into subgroups, about this many rows each.
+#: Rows of a subgroup, about.
 SPLIT_ROWS = 200_000
 
 
 def subgroup_counts(df: DataFrame, group: str, split_rows: int) -> DataFrame:
-    """group, n_sub for the groups of more than ``split_rows`` rows: at most rows / split_rows groups.
+    """group, n_sub for the groups of more than one subgroup: at most rows / split_rows groups.
 
     The counting reads one column and is combined before the shuffle, so a hot group costs one row per task.
     """
@@ -26,9 +26,9 @@ def top_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 10,
     Best is least, or greatest if ``descending``; at equal score the smaller item comes first. An item counts once in
     a group, with its best score; a group of fewer items gives all of them.
 
-    Stage one hashes the items of a large group into subgroups (a small group is one subgroup), so that all rows of an
-    item meet in one task; there repeats are folded and N items kept. Stage two ranks the survivors, at most N per
-    subgroup, by score and item.
+    Stage one hashes the items of a group into subgroups of about ``split_rows`` rows, so that all rows of an item meet in one
+    task however many rows the group has; there repeats are folded and N items kept. Stage two ranks the survivors, at most N
+    per subgroup, by score and item.
 
     Rows with a null group, item or score, a NaN score, or where ``usable`` is not true are left out. Ties, repeated
     rows, empty tables and further columns (ignored) are fine.
@@ -41,14 +41,10 @@ def top_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 10,
     # one exchange serves the folding of repeats and the ranking: both cluster on (_g, _sub)
     once = salted.select("_g", "_sub", "_i", "_s").repartition("_g", "_sub").groupBy("_g", "_sub", "_i").agg(best.alias("_s"))
     order = [F.col("_s").desc() if descending else F.col("_s"), F.col("_i")]
-    first = once.withColumn("_n", F.row_number().over(Window.partitionBy("_g", "_sub").orderBy(*order))).where(F.col("_n") <= n)
-    if not hot.limit(1).count():  # no group was split, so every subgroup is a whole group
-        return first.select(F.col("_g").alias(group), F.col("_i").alias(item), F.col("_s").alias(score), F.col("_n").cast("bigint").alias("position"))
-    first = cut(first, "survivors")  # at most n rows per subgroup
-    # only large groups have more than one subgroup to merge
-    settled = first.join(hot, "_g", "left_anti").select("_g", "_i", "_s", "_n")
-    merged = first.join(hot, "_g", "left_semi").select("_g", "_i", "_s").withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(*order))).where(F.col("_n") <= n)
-    return settled.unionByName(merged).select(F.col("_g").alias(group), F.col("_i").alias(item), F.col("_s").alias(score), F.col("_n").cast("bigint").alias("position"))
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    first = once.withColumn("_n", nth("_g", "_sub")).where(F.col("_n") <= n).select("_g", "_i", "_s")
+    last = first.withColumn("_n", nth("_g")).where(F.col("_n") <= n)
+    return last.select(F.col("_g").alias(group), F.col("_i").alias(item), F.col("_s").alias(score), F.col("_n").cast("bigint").alias("position"))
 
 
 def nearest_nodes(node_distance: DataFrame, n: int = 10) -> DataFrame:

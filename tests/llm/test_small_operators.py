@@ -121,17 +121,27 @@ def test_items_threads_repeats_and_missing_scores(spark):
     assert got == {1: (1.0, 0.5, 0.5, 0.8), 2: (0.5, 0.2, 0.3, None), 6: (0.8, None, None, None)}
 
 
-@pytest.mark.parametrize("split", [4, 10_000])
-def test_positions_with_ties_equal_sorting(spark, split):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_places_with_ties_equal_sorting(spark, coalesce):
     rng = np.random.default_rng(6)
     rows = [(int(i % 3), i, float(rng.integers(-5, 5)) / 7) for i in range(90)]
     df = spark.createDataFrame(rows, "g long, i long, v double")
-    shared = {r.i: r.p for r in rank_fusion.positions(df, ["g"], "v", "p", split_rows=split).collect()}
-    strict = {r.i: r.p for r in rank_fusion.positions(df, ["g"], "v", "p", [df.i], False, split).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    shared = {r.i: r.p for r in rank_fusion.places(df, ["g"], "v", "p").collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     for g, i, v in rows:
-        peers = [(b, j) for h, j, b in rows if h == g]
-        assert shared[i] == 1 + sum(b > v for b, _ in peers)
-        assert strict[i] == 1 + sum((b, j) < (v, i) for b, j in peers)
+        assert shared[i] == 1 + sum(b > v for h, _, b in rows if h == g)
+
+
+def test_any_scale_is_ranked(spark):
+    rows = [(1, i, 0, x, x, x, None, 0, 1) for i, x in enumerate([3e-13, 1e-13, 4e-13, 2e-13, 5e300, 1e30, -1e30, 0.0, 1e-320], 1)]
+    # threads that add up to what one thread has
+    rows += [(2, 1, 0, 0.1, 0.1, 0.1, None, 0, 1), (2, 1, 1, 0.2, 0.2, 0.2, None, 0, 1), (2, 2, 0, 0.3, 0.3, 0.3, None, 0, 2), (2, 3, 0, 1e-200, 1e-200, 1e-200, None, 0, 1), (2, 3, 1, 2e-200, 2e-200, 2e-200, None, 0, 1), (2, 4, 7, 3e-200, 3e-200, 3e-200, None, 0, 2)]
+    got = rank_fusion.ranking(acc(spark, rows)).collect()
+    assert [r.item_id for r in sorted(got, key=lambda r: (r.panel_id, r.position)) if r.panel_id == 1] == [5, 6, 3, 1, 4, 2, 9, 8, 7]
+    assert {r.item_id: r.median_rank for r in got if r.panel_id == 2} == {1: 1.0, 2: 1.0, 3: 3.0, 4: 3.0}
+    scores = {(r.panel_id, r.item_id): r.trust for r in rank_fusion.item_scores(acc(spark, rows)).collect()}
+    assert scores[1, 5] == 5e300 and scores[1, 9] == 1e-320 and scores[2, 1] == 0.15 and scores[2, 3] == 1.5e-200
 
 
 def test_no_score_rules_by_its_range(spark):
