@@ -82,6 +82,10 @@ def p9_found(spark, d):
     return visual_form.look_alikes(table(spark, d, "documents"))
 
 
+def p9_classes(spark, d):
+    return visual_form.look_classes(table(spark, d, "documents"))
+
+
 def p9_texts(spark, d):
     return visual_form.consistent_texts(table(spark, d, "documents"))
 

@@ -53,28 +53,50 @@ SAME = [
 APART = [("Name", "name"), ("resume", "résumé"), ("m2", "m²"), ("1", "①"), ("X", "\U0001d54f"), ("straße", "strasse"), ("a-b", "a−b"), ("a b", "a  b"), ("a b", "ab"), ("a.", "a"), ("\U0001f469‍\U0001f52c", "\U0001f469\U0001f52c"), ("1/2", "½"), ("O", "0"), ("a\nb", "a b"), ("3", "٣")]
 
 
+#: Letters of other scripts that the published data calls confusable.
+SAME += [("so", "s\u0585"), ("A1", "\u13aa1"), ("pa", "\u03c1a"), ("P", "\u2ca2")]
+
+
+@pytest.fixture(scope="module")
+def forms(spark):
+    return V.Forms(V.look_alike_letters(spark))
+
+
 @pytest.mark.parametrize("a, b", SAME)
-def test_same_to_the_eye(a, b):
-    assert V.visual_form(a) == V.visual_form(b) and V.folded_form(a) == V.folded_form(b)
+def test_same_to_the_eye(forms, a, b):
+    assert forms.visual(a) == forms.visual(b) and forms.folded(a) == forms.folded(b)
 
 
 @pytest.mark.parametrize("a, b", APART)
-def test_apart_to_the_eye(a, b):
-    assert V.visual_form(a) != V.visual_form(b)
+def test_apart_to_the_eye(forms, a, b):
+    assert forms.visual(a) != forms.visual(b)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(max_size=30))
-def test_forms_are_settled(text):
-    v = V.visual_form(text)
+LETTERS = st.one_of(st.characters(), st.sampled_from("aA\u0410\u0391\u0301\u200d\u200b\xad\u2011\xa0\u3000\r\n\t\u0130\u0131\xdf\u1e9e\ufb01\u2460\xb2\uff21\uff76\uff9e\u212b\u2126\xb5\u0345\u03c2\U0001f469\U0001f52c\uffff\x00\x01"))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=LETTERS, max_size=30))
+def test_forms_are_settled(forms, text):
+    v = forms.visual(text)
     if V.KEPT_JOINER not in v:
-        assert V.visual_form(v) == v
+        assert forms.visual(v) == v
+    assert forms.folded_all([text]) == [forms.folded(text)]
+    # texts of one visual form have one comparison form, so no pair is lost
+    assert forms.folded(v) == forms.folded(text)
 
 
 def test_pairs(spark):
     rows = [(1, "café au lait"), (2, "café au lait"), (3, "café au lait"), (4, "Café au lait"), (5, None), (6, ""), (7, " "), (8, " "), (9, "​"), (10, "other"), (2, "café au lait"), (None, "café au lait"), (11, "ｏｔｈｅｒ")]
     df = spark.createDataFrame([(*r, "f", "v") for r in rows], "doc_id long, text string, folded string, visual string")
     assert {(r.doc_a, r.doc_b) for r in V.look_alikes(df).collect()} == {(1, 2), (2, 3), (10, 11)}
+    classes = {r.doc_id: (r.class_id, r.spelling_id) for r in V.look_classes(df).collect()}
+    assert classes == {1: (1, 1), 2: (1, 2), 3: (1, 1), 10: (10, 10), 11: (10, 11)}
     texts = {r.doc_id: r for r in V.consistent_texts(df).collect()}
     assert texts[2].visual == "café au lait" and texts[4].folded == texts[1].folded and texts[5].folded is None and texts[9].visual is None
     assert V.look_alikes(df.where("doc_id < 0")).count() == 0
+
+
+def test_many_copies_of_two_spellings_give_one_row_each(spark):
+    df = spark.range(600).selectExpr("id AS doc_id", "if(id % 2 = 0, 'name', 'n\u0430me') AS text")
+    assert V.look_classes(df).count() == 600 and V.look_alikes(df).count() == 300 * 300
