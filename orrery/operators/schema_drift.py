@@ -9,12 +9,14 @@ side by side, since a file's row carries its predecessor's schema. The scripts a
 from __future__ import annotations
 
 import json
+import math
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.schema_trees import script, tree
+from orrery.operators.schema_trees import MAP_BITS, Values, script, tree
 from orrery.plans.cut import cut
 from orrery.plans.pointers import follow
 from orrery.plans.ranged import carried
@@ -24,8 +26,10 @@ CHANGES = "file_id bigint, stream_id string, change_kind string, field_path stri
 MAX_COLUMNS = 5000
 #: The key of an object under which the field's own value lies; its other members tell more about it.
 VALUE_KEY = "value"
-#: Words for yes and no.
+#: Words that are cast to boolean by Spark.
 YES_NO = frozenset({"true", "false", "yes", "no", "t", "f", "y", "n"})
+#: What a number may begin with.
+NUMBER_STARTS = frozenset("+-.0123456789")
 
 
 def kind_of(value) -> str | None:
@@ -54,6 +58,8 @@ def leaf_of(value) -> str | None:
         low = value.strip().lower()
         if low in YES_NO:
             return "boolean"
+        if low[:1] not in NUMBER_STARTS:
+            return "text"
         try:
             value = float(low)
         except ValueError:
@@ -84,19 +90,86 @@ def _parse(payload):
     return value if isinstance(value, dict) else None
 
 
+KINDS, LEAVES = ("boolean", "list", "number", "object", "text"), ("bit", "boolean", "number", "text")
+#: Counts of kinds and leaves, the sums of :class:`.schema_trees.Values`, and the map of values in words of 64 bits, as columns.
+COUNTS = [f"kind_{k}" for k in KINDS] + [f"leaf_{k}" for k in LEAVES]
+SUMS = ["numbers", "total", "squares", "whole", "negative"]
+WORDS = [f"seen{i}" for i in range(MAP_BITS // 64)]
+STATS = ", ".join(f"{c} {'double' if c in ('total', 'squares') else 'bigint'}" for c in (*COUNTS, *SUMS, *WORDS))
+_KIND_AT, _LEAF_AT = {k: i for i, k in enumerate(KINDS)}, {k: len(KINDS) + i for i, k in enumerate(LEAVES)}
+_TEXT, _BIT, _NUMBER, _SUMS = _KIND_AT["text"], _LEAF_AT["bit"], _LEAF_AT["number"], len(COUNTS)
+
+
+def _counted(sums: list, value, texts: dict) -> None:
+    """Add a non-null value to [*COUNTS, *SUMS, seen]. ``texts`` remembers what was found of a text."""
+    kind = type(value)
+    if kind is str:
+        sums[_TEXT] += 1
+    else:
+        sums[_KIND_AT[kind_of(value)]] += 1
+        if kind is list or kind is dict:
+            value = single(value)
+            kind = type(value)
+            if value is None:
+                return
+    if kind is str:
+        told = texts.get(value)
+        if told is None:
+            leaf = leaf_of(value)
+            told = texts[value] = leaf, 1 << zlib.crc32(value.encode("utf-8", "surrogatepass")) % MAP_BITS
+        sums[_LEAF_AT[told[0]]] += 1
+        if told[0] == "text":
+            sums[-1] |= told[1]
+        if told[0] in ("text", "boolean"):
+            return
+    elif kind is bool:
+        sums[_LEAF_AT["boolean"]] += 1
+        return
+    else:
+        sums[_BIT if value == 0 or value == 1 else _NUMBER] += 1
+    try:
+        x = float(value)
+    except OverflowError:  # a whole number beyond all doubles
+        return
+    if not math.isfinite(x):
+        return
+    y = math.asinh(x)
+    sums[_SUMS] += 1
+    sums[_SUMS + 1] += y
+    sums[_SUMS + 2] += y * y
+    sums[_SUMS + 3] += x.is_integer()
+    sums[_SUMS + 4] += x < 0
+    # the hash of a double is the same everywhere
+    sums[-1] |= 1 << (hash(x) * 0x9E3779B97F4A7C15 >> 40) % MAP_BITS
+
+
+def _word(bits: int, i: int) -> int:
+    word = bits >> (64 * i) & (2**64 - 1)
+    return word - 2**64 if word >= 2**63 else word
+
+
 def _profile(batches):
+    none = [0] * len(COUNTS) + [0, 0.0, 0.0, 0, 0] + [0]
     for batch in batches:
-        seen: dict[tuple, int] = {}
+        files: dict[int, dict[str, list]] = {}
+        texts: dict[str, tuple] = {}
         for file_id, payload in zip(batch["file_id"].to_pylist(), batch["payload"].to_pylist(), strict=True):
             record = _parse(payload)
             if record is None:
                 continue
-            seen[file_id, "", None, None] = seen.get((file_id, "", None, None), 0) + 1
+            fields = files.setdefault(file_id, {"": none})
             for path, v in _paths(record):
-                at = (file_id, path, kind_of(v), leaf_of(v))
-                seen[at] = seen.get(at, 0) + 1
-        cols = list(zip(*seen, strict=True)) if seen else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:]), pa.array(list(seen.values()), pa.int64())], ["file_id", "path", "kind", "leaf", "n"])
+                sums = fields.get(path)
+                if sums is None:
+                    sums = fields[path] = none.copy()
+                if v is not None:
+                    _counted(sums, v, texts)
+        keys = [[i for i, fields in files.items() for _ in fields], [path for fields in files.values() for path in fields]]
+        sums = list(zip(*(c for fields in files.values() for c in fields.values()), strict=True)) if files else [[]] * len(none)
+        kinds = [pa.int64()] * len(COUNTS) + [pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+        maps = [pa.array([_word(b, i) for b in sums[-1]], pa.int64()) for i in range(len(WORDS))]
+        cols = [pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.string()), *(pa.array(c, k) for c, k in zip(sums[:-1], kinds, strict=True)), *maps]
+        yield pa.RecordBatch.from_arrays(cols, ["file_id", "path", *COUNTS, *SUMS, *WORDS])
 
 
 def records_once(records: DataFrame) -> DataFrame:
@@ -107,34 +180,40 @@ def records_once(records: DataFrame) -> DataFrame:
 
 
 def profiles(once: DataFrame) -> DataFrame:
-    """file_id, path, kind, leaf: the fields of each file; path '' stands for the file itself.
+    """file_id, path, kind, leaf, values: the fields of each file; path '' stands for the file itself.
 
     A field is there if any record has its key. Its kind is that of most of its non-null values (at a tie the first in
-    alphabetical order), null if it has none. Payloads that are no JSON objects are no records.
+    alphabetical order), null if it has none. ``values`` are sums over its values, null if it has none. Payloads that are no
+    JSON objects are no records.
     """
-    counted = once.select("file_id", "payload").mapInArrow(_profile, "file_id bigint, path string, kind string, leaf string, n bigint")
-    by_leaf = counted.groupBy("file_id", "path", "kind", "leaf").agg(F.sum("n").alias("n"))
-    by_kind = by_leaf.groupBy("file_id", "path", "kind").agg(F.sum("n").alias("n"))
-    kinds = by_kind.groupBy("file_id", "path").agg(F.min(F.when(F.col("kind").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("kind").alias("k"))))["k"].alias("kind"))
-    leaves = by_leaf.groupBy("file_id", "path", "leaf").agg(F.sum("n").alias("n")).groupBy("file_id", "path").agg(F.min(F.when(F.col("leaf").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("leaf").alias("k"))))["k"].alias("leaf"))
-    return kinds.join(leaves, ["file_id", "path"])
+    counted = once.select("file_id", "payload").mapInArrow(_profile, f"file_id bigint, path string, {STATS}")
+    each = counted.groupBy("file_id", "path").agg(*(F.sum(c).alias(c) for c in (*COUNTS, *SUMS)), *(F.bit_or(c).alias(c) for c in WORDS))
+    most = lambda kind, names: F.greatest(*(F.when(F.col(f"{kind}_{k}") > 0, F.struct(F.col(f"{kind}_{k}").alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k"))) for i, k in enumerate(names)))["k"]
+    found = each.select("file_id", "path", most("kind", KINDS).alias("kind"), most("leaf", LEAVES).alias("leaf"), *SUMS, *WORDS)
+    return found.select("file_id", "path", "kind", "leaf", F.when(F.col("leaf").isNotNull(), F.struct(*SUMS, *WORDS)).alias("values"))
+
+
+def _values(v: dict | None) -> Values:
+    if v is None:
+        return Values()
+    seen = sum((v[w] & (2**64 - 1)) << (64 * i) for i, w in enumerate(WORDS))
+    return Values(*(v[c] for c in SUMS), seen)
 
 
 def _diff(batches):
-    names = ["file_id", "stream_id", "change_kind", "field_path", "old_path", "old_kind", "new_kind", "cost"]
+    names = ["tool", "file_id", "stream_id", "change_kind", "field_path", "old_path", "old_kind", "new_kind", "cost"]
     for batch in batches:
         rows = []
-        cols = [batch[c].to_pylist() for c in ("file_id", "stream_id", "before", "fields")]
-        for file_id, stream, before, now in zip(*cols, strict=True):
-            old = tree((f["path"], f["kind"], f["leaf"]) for f in before)
-            new = tree((f["path"], f["kind"], f["leaf"]) for f in now)
-            for e in script(old, new):
-                rows.append((file_id, stream, e.change, e.path, e.old_path, e.old_kind, e.new_kind, e.cost))
+        cols = [batch[c].to_pylist() for c in ("tool", "file_id", "stream_id", "before", "fields", "apart")]
+        for tool, file_id, stream, before, now, apart in zip(*cols, strict=True):
+            old, new = (tree((f["path"], f["kind"], f["leaf"], _values(f["values"])) for f in fields) for fields in (before, now))
+            for e in script(old, new, frozenset((p["a"], p["b"]) for p in apart or ())):
+                rows.append((tool, file_id, stream, e.change, e.path, e.old_path, e.old_kind, e.new_kind, e.cost))
                 if e.change == "renamed" and e.new_kind is None and e.old_kind is not None:
                     # no value in this file: the kind is the last known, that of the old name
-                    rows.append((file_id, stream, "inherited", e.path, e.old_path, e.old_kind, e.old_kind, 0.0))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-        kinds = [pa.int64(), *[pa.string()] * 6, pa.float64()]
+                    rows.append((tool, file_id, stream, "inherited", e.path, e.old_path, e.old_kind, e.old_kind, 0.0))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
+        kinds = [pa.string(), pa.int64(), *[pa.string()] * 6, pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
@@ -147,28 +226,61 @@ def files_once(files: DataFrame) -> DataFrame:
     return files.select("file_id", "stream_id", "tool", "written_at", "received_at").where("file_id IS NOT NULL").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("file_id", "stream_id", "tool", "written_at")
 
 
+def _side_by_side(found: DataFrame, placed: DataFrame) -> DataFrame:
+    """file_id, tool, a, b: those renames of names a -> b in ``found`` that can't be, since some file of the tool has both in one
+    object."""
+    last = lambda c: F.element_at(F.split(c, "\x1f"), -1)
+    above = lambda c: F.expr(f"substring({c}, 1, length({c}) - length(substring_index({c}, '\x1f', -1)))")
+    renames = found.where("change_kind = 'renamed'").select("file_id", "tool", F.col("old_path").alias("a"), F.col("field_path").alias("b")).where(above("a") == above("b"))
+    one = placed.select("tool", F.col("file_id").alias("_in"), F.col("path").alias("a")).join(renames.select("tool", "a", "b").distinct(), ["tool", "a"])
+    both = one.join(placed.select(F.col("file_id").alias("_in"), F.col("path").alias("b")), ["_in", "b"], "left_semi").select("tool", "a", "b").distinct()
+    return renames.join(both, ["tool", "a", "b"]).select("file_id", "tool", last("a").alias("a"), last("b").alias("b")).distinct()
+
+
+def _compared(paired: DataFrame, placed: DataFrame) -> DataFrame:
+    """The edits (see CHANGES, with tool) of each file of ``paired`` (cut). Files whose cheapest script renames what stands side
+    by side elsewhere are compared again without those renames; the others' scripts stay the cheapest."""
+    diff = lambda df: df.select("tool", "file_id", "stream_id", "before", "fields", "apart").mapInArrow(_diff, f"tool string, {CHANGES}")
+    found = cut(diff(paired.withColumn("apart", F.lit(None).cast("array<struct<a:string,b:string>>"))), "changes")
+    wrong = cut(_side_by_side(found, placed), "side-by-side")
+    known = wrong
+    while wrong.limit(1).count():
+        files = wrong.select("file_id").distinct()
+        # all that is known of the tool, in one short list per file
+        apart = files.join(paired.select("file_id", "tool"), "file_id").join(known.select("tool", "a", "b").distinct(), "tool").groupBy("file_id").agg(F.collect_list(F.struct("a", "b")).alias("apart"))
+        again = cut(diff(paired.join(apart, "file_id")), "changes")
+        found = cut(found.join(files, "file_id", "left_anti").select(*again.columns).unionByName(again), "changes")
+        wrong = cut(_side_by_side(again, placed), "side-by-side")
+        known = known.unionByName(wrong)
+    return found
+
+
 def changes(files: DataFrame, profile: DataFrame) -> DataFrame:
     """One row per edit of each file against the nearest earlier one with records in its stream (see CHANGES).
 
-    A field's kind is that of its values in the file or, without any, the last known in its stream, through renames.
-    Files without stream_id or written_at have no order and no changes. The first file of a stream has no changes.
+    A field's kind is that of its values in the file or, without any, the last known in its stream, through renames. Two names
+    that stand side by side in any file of the tool are no renames of one another. Files without stream_id or written_at have
+    no order and no changes. The first file of a stream has no changes.
     """
-    placed = cut(profile.join(files.where("stream_id IS NOT NULL AND written_at IS NOT NULL"), "file_id").select("stream_id", "written_at", "file_id", "path", "kind", "leaf"), "profiles")
-    told = None
+    ordered = files.where("stream_id IS NOT NULL AND written_at IS NOT NULL").withColumn("tool", F.coalesce("tool", F.lit("")))
+    placed = cut(profile.join(ordered, "file_id").select("tool", "stream_id", "written_at", "file_id", "path", "kind", "leaf", "values"), "profiles")
+    told = result = None
+    part = placed
     while True:
-        known = placed
-        if told is not None:
-            known = placed.join(told, ["file_id", "path"], "left").withColumn("kind", F.coalesce("kind", "_told")).drop("_told")
-        known = carried(known, ["stream_id", "path"], ORDER, {"kind": "kind", "leaf": "leaf"}, current=True)
+        known = part if told is None else part.join(told, ["file_id", "path"], "left").withColumn("kind", F.coalesce("kind", "_told")).drop("_told")
+        known = carried(known, ["stream_id", "path"], ORDER, {"kind": "kind", "leaf": "leaf", "values": "values"}, current=True)
         # one short list per file: its fields
-        per_file = known.groupBy("stream_id", "written_at", "file_id").agg(F.collect_list(F.when(F.col("path") != "", F.struct("path", "kind", "leaf"))).alias("fields"))
+        per_file = known.groupBy("tool", "stream_id", "written_at", "file_id").agg(F.collect_list(F.when(F.col("path") != "", F.struct("path", "kind", "leaf", "values"))).alias("fields"))
         per_file = per_file.withColumn("fields", F.sort_array("fields"))
-        paired = carried(per_file, ["stream_id"], ORDER, {"fields": "before"}, current=False).where("before IS NOT NULL AND before <> fields")
-        found = cut(paired.select("file_id", "stream_id", "before", "fields").mapInArrow(_diff, CHANGES), "changes")
-        more = found.where("change_kind = 'inherited'").select("file_id", F.col("field_path").alias("path"), F.col("new_kind").alias("_told")).distinct()
-        told = cut(more if told is None else more.unionByName(told).distinct(), "inherited")
+        paired = cut(carried(per_file, ["stream_id"], ORDER, {"fields": "before"}, current=False).where("before IS NOT NULL"), "paired")
+        found = _compared(paired, placed)
+        result = found if result is None else cut(result.join(part.select("stream_id").distinct(), "stream_id", "left_anti").select(*found.columns).unionByName(found), "changes")
+        more = cut(found.where("change_kind = 'inherited'").select("stream_id", "file_id", F.col("field_path").alias("path"), F.col("new_kind").alias("_told")).distinct(), "inherited")
         if not more.limit(1).count():
-            return found.where("change_kind <> 'inherited'")
+            return result.where("change_kind <> 'inherited'").drop("tool")
+        # only the streams where a kind went on under another name are looked at again
+        part = placed.join(more.select("stream_id").distinct(), "stream_id", "left_semi")
+        told = more.select("file_id", "path", "_told") if told is None else more.select("file_id", "path", "_told").unionByName(told).distinct()
 
 
 def found_changes(files: DataFrame, records: DataFrame) -> DataFrame:

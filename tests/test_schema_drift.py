@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 
 from orrery.operators import schema_drift as D
+from orrery.operators import schema_trees as T
 from orrery.operators.schema_trees import Node, assign, script, tree
 
 FILES = "file_id long, stream_id string, tool string, file_name string, written_at timestamp, received_at timestamp, n_records int, kind string"
@@ -143,3 +144,93 @@ def test_looking_back_over_ranges_equals_a_loop(spark, ranges):
     got = {r.t: r.o for r in summed_before(df.where("v IS NOT NULL"), ["g"], [F.col("t").desc()], "v", "o").collect()}
     assert got == {t: sum(w for h, u, w in rows if h == g and u > t and w is not None) for g, t, v in rows if v is not None}
     assert carried(df.where("t < 0"), ["g"], ["t"], {"v": "o"}, True).count() == 0 == summed_before(df.where("t < 0"), ["g"], ["t"], "v", "o").count()
+
+
+def numbers_in_files(spark, old, new, extra=None, stream="s"):
+    """What is found where a field of the values ``old`` (name, values) goes and one of ``new`` comes."""
+    records = [(i, n, {name: v, "k": "same"}) for i, (name, values) in enumerate((old, new), 1) for n, v in enumerate(values)]
+    return found(spark, [(1, stream, 1), (2, stream, 2)] + [(i, "t", i) for i in {r[0] for r in extra or []}], records + (extra or []))
+
+
+def test_values_speak_against_a_likely_name(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    assert numbers_in_files(spark, ("lat", rng.uniform(-90, 90, 20).tolist()), ("latency", rng.uniform(5, 50, 20).tolist())) == {(2, "removed", "lat"), (2, "added", "latency")}
+    assert numbers_in_files(spark, ("lat", rng.uniform(-90, 90, 20).tolist()), ("latitude", rng.uniform(-90, 90, 20).tolist())) == {(2, "renamed", "latitude")}
+
+
+def test_values_speak_for_an_unlikely_name(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    assert numbers_in_files(spark, ("elapsed", rng.lognormal(1, 1, 300).tolist()), ("duration", rng.lognormal(1, 1, 300).tolist())) == {(2, "renamed", "duration")}
+    again = rng.lognormal(1, 1, 20).tolist()
+    assert numbers_in_files(spark, ("knn_time_sec", again), ("neighbour_seconds", again)) == {(2, "renamed", "neighbour_seconds")}
+    assert numbers_in_files(spark, ("outcome", ["good", "bad", "late"] * 4), ("verdict", ["late", "good", "bad"] * 2)) == {(2, "renamed", "verdict")}
+    assert numbers_in_files(spark, ("outcome", ["good", "bad", "late"] * 4), ("verdict", ["a", "b", "c"] * 2)) == {(2, "removed", "outcome"), (2, "added", "verdict")}
+
+
+def test_fields_that_stand_side_by_side_are_no_renames(spark):
+    one = [("sum_time_sec", [1.0]), ("own_time_sec", [1.0])]
+    assert numbers_in_files(spark, *one) == {(2, "renamed", "own_time_sec")}
+    both = [(8, 1, {"sum_time_sec": 2.0, "own_time_sec": 1.0})]
+    assert numbers_in_files(spark, *one, both) == {(2, "removed", "sum_time_sec"), (2, "added", "own_time_sec")}
+
+
+def test_numbers_beyond_doubles_and_odd_texts(spark):
+    odd = ['{"a": 1%s, "b": NaN, "c": Infinity, "d": "\\\\ud800", "e": "1e999", "f": []}' % ("0" * 400), '{"a": -1, "b": 2, "c": null, "d": "", "e": "+", "f": {}}']
+    assert found(spark, [(1, "s", 1), (2, "s", 2)], [(1, 1, odd[0]), (2, 1, odd[1])]) == {(2, "retyped", "f")}
+
+
+def brute_cost(old, new):
+    """Least cost of pairing two flat schemas of which no name stays, over all pairings."""
+    import itertools
+
+    a, b = sorted(old.children), sorted(new.children)
+    best = len(a) + len(b)
+    for k in range(1, min(len(a), len(b)) + 1):
+        for x in itertools.combinations(a, k):
+            for y in itertools.permutations(b, k):
+                costs = []
+                for p, q in zip(x, y, strict=True):
+                    alike = T.Names(old.children, new.children).likeness(p, q) + (T.evidence(old.children[p], new.children[q]) or 0.0)
+                    if alike < T.ALIKE:
+                        break
+                    costs.append(0.2 + 1.2 * (1 - min(1.0, alike)))
+                else:
+                    best = min(best, sum(costs) + len(a) + len(b) - 2 * k)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_script_of_a_flat_schema_costs_least(seed):
+    import random
+
+    rng = random.Random(seed)
+    parts = ["run", "time", "total", "sec", "state", "mem", "peak"]
+    make = lambda n: {"_".join(rng.sample(parts, rng.randint(1, 3))): Node("text", "text") for _ in range(n)}
+    x, y = make(5), make(4)
+    shared = set(x) & set(y)
+    old, new = (Node("object", None, {k: v for k, v in s.items() if k not in shared}) for s in (x, y))
+    assert sum(e.cost for e in script(old, new)) == pytest.approx(brute_cost(old, new))
+
+
+def test_a_rename_counts_what_is_below():
+    leaf = lambda: Node("number", "number")
+    old = Node("object", None, {"host_info": Node("object", None, {"cores": leaf(), "ram": leaf(), "disk": leaf()})})
+    new = Node("object", None, {"host": Node("object", None, {"city": leaf(), "zip": leaf(), "floor": leaf()}), "info_of_machine": Node("object", None, {"cores": leaf(), "ram": leaf(), "disk": leaf()})})
+    edits = {(e.change, e.path) for e in script(old, new)}
+    assert edits == {("renamed", "info_of_machine"), ("added", "host")}
+
+
+def test_moves_compete_with_renames():
+    text = lambda: Node("text", "text")
+    old = Node("object", None, {"name": text(), "site": text()})
+    new = Node("object", None, {"site_name": text(), "owner": Node("object", None, {"name": text()})})
+    edits = {(e.change, e.path, e.old_path) for e in script(old, new)}
+    assert edits == {("moved", "owner\x1fname", "name"), ("renamed", "site_name", "site"), ("added", "owner", "")}
+    # an object that goes while two of its members come out
+    old = Node("object", None, {"pos": Node("object", None, {"lat": text(), "lon": text()})})
+    new = Node("object", None, {"lat": text(), "lon": text()})
+    assert {(e.change, e.path) for e in script(old, new)} == {("moved", "lat"), ("moved", "lon"), ("removed", "pos")}
