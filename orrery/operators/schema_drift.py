@@ -172,11 +172,21 @@ def _profile(batches):
         yield pa.RecordBatch.from_arrays(cols, ["file_id", "path", *COUNTS, *SUMS, *WORDS])
 
 
+#: Records of a file that lie together in one task (a power of two).
+TOGETHER = 8192
+
+
 def records_once(records: DataFrame) -> DataFrame:
     """file_id, record_no, payload: each record once (of different payloads the one of least hash). Rows without file_id or payload are
-    left out; of those without record_no only equal payloads are one record."""
-    w = Window.partitionBy("file_id", "record_no", F.when(F.col("record_no").isNull(), F.sha2("payload", 256))).orderBy(F.xxhash64("payload"))
-    return records.select("file_id", "record_no", "payload").where("file_id IS NOT NULL AND payload IS NOT NULL").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    left out; of those without record_no only equal payloads are one record.
+
+    A file's records come out side by side, those of a large one in several tasks.
+    """
+    alone = F.when(F.col("record_no").isNull(), F.sha2("payload", 256))
+    part = F.coalesce(F.floor(F.col("record_no") / TOGETHER).cast("bigint"), F.pmod(F.xxhash64("payload"), F.lit(TOGETHER)))
+    rows = records.select("file_id", "record_no", "payload").where("file_id IS NOT NULL AND payload IS NOT NULL").withColumns({"_part": part, "_alone": alone})
+    w = Window.partitionBy("file_id", "_part", "record_no", "_alone").orderBy(F.xxhash64("payload"))
+    return rows.repartition("file_id", "_part").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("file_id", "record_no", "payload")
 
 
 def profiles(once: DataFrame) -> DataFrame:
@@ -200,14 +210,31 @@ def _values(v: dict | None) -> Values:
     return Values(*(v[c] for c in SUMS), seen)
 
 
+def _schemas(column: pa.ListArray) -> tuple[list[dict[str, tuple]], pa.StructArray]:
+    """Of each file its fields: path -> (kind, leaf, place of its values in the batch), and the values."""
+    fields = column.flatten()
+    names, values = [fields.field(c).to_pylist() for c in ("path", "kind", "leaf")], fields.field("values")
+    ends = column.offsets.to_pylist()
+    start = ends[0]
+    out = [{names[0][i - start]: (names[1][i - start], names[2][i - start], i - start) for i in range(a, b)} for a, b in zip(ends, ends[1:], strict=False)]
+    return out, values
+
+
+def _tree(own: dict[str, tuple], values: pa.StructArray, other: dict[str, tuple]):
+    """The schema; values are looked up only of fields that the other one hasn't."""
+    return tree((path, kind, leaf, _values(values[at].as_py()) if path not in other else None) for path, (kind, leaf, at) in own.items())
+
+
 def _diff(batches):
     names = ["tool", "file_id", "stream_id", "change_kind", "field_path", "old_path", "old_kind", "new_kind", "cost"]
     for batch in batches:
         rows = []
-        cols = [batch[c].to_pylist() for c in ("tool", "file_id", "stream_id", "before", "fields", "apart")]
-        for tool, file_id, stream, before, now, apart in zip(*cols, strict=True):
-            old, new = (tree((f["path"], f["kind"], f["leaf"], _values(f["values"])) for f in fields) for fields in (before, now))
-            for e in script(old, new, frozenset((p["a"], p["b"]) for p in apart or ())):
+        (olds, old_values), (news, new_values) = _schemas(batch["before"]), _schemas(batch["fields"])
+        cols = [batch[c].to_pylist() for c in ("tool", "file_id", "stream_id", "apart")]
+        for tool, file_id, stream, apart, before, now in zip(*cols, olds, news, strict=True):
+            if before.keys() == now.keys() and all(before[p][0] == k for p, (k, _, _) in now.items()):
+                continue
+            for e in script(_tree(before, old_values, now), _tree(now, new_values, before), frozenset((p["a"], p["b"]) for p in apart or ())):
                 rows.append((tool, file_id, stream, e.change, e.path, e.old_path, e.old_kind, e.new_kind, e.cost))
                 if e.change == "renamed" and e.new_kind is None and e.old_kind is not None:
                     # no value in this file: the kind is the last known, that of the old name
