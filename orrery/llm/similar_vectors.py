@@ -20,9 +20,9 @@ from orrery.plans.cut import cut
 from orrery.plans.sizing import heavy_partitions
 
 #: Rows of a shard: its vectors and links (about 300 bytes a row at 40 dimensions) are held by one task.
-SHARD_ROWS = 10_000
+SHARD_ROWS = 32_768
 #: Queries of a block.
-BLOCK_ROWS = 10_000
+BLOCK_ROWS = 8_192
 DEGREE, BUILD_BEAM, ALPHA, SEARCH_BEAM = 32, 64, 1.1, 96
 
 
