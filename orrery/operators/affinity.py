@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators import kernels
+from orrery.plans.cut import cut
+from orrery.plans.sizing import heavy_partitions
 
 COST_EPS = 1e-9  # fixed value of the method
 
@@ -51,29 +53,62 @@ def symmetric(cond: DataFrame) -> DataFrame:
     return half.select(F.col("a").alias("src"), F.col("b").alias("dst"), "p").unionByName(half.select(F.col("b").alias("src"), F.col("a").alias("dst"), "p"))
 
 
+#: Rows of a block of a layout; a task holds two blocks and a strip of their pairs.
+BLOCK_ROWS, STRIP = 8192, 256
+
+
+def repulsion(layout: DataFrame) -> DataFrame:
+    """id, q, r1, r2: for each row the sums of q, q^2 D1 and q^2 D2 over all other rows; q = 1 / (1 + d^2).
+
+    Rows are hashed into blocks, and each pair of blocks (joined by their numbers) is one task's work; what leaves a task is
+    one row per row of a block. ``layout``: id, y1, y2.
+    """
+    blocks = max(1, math.ceil(layout.count() / BLOCK_ROWS))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    placed = layout.select("id", "y1", "y2", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    n = heavy_partitions(layout.sparkSession, blocks * blocks)
+    left = placed.withColumn("side", every).repartition(n, "block", "side")
+    right = placed.select("id", "y1", "y2", F.col("block").alias("side"), every.alias("block")).repartition(n, "block", "side")
+
+    def run(key, a, b):
+        out = np.zeros((a.num_rows, 3))
+        u1, u2 = (b[c].to_numpy() for c in ("y1", "y2"))
+        ids, other = a["id"].to_numpy(), b["id"].to_numpy()
+        v1, v2 = (a[c].to_numpy() for c in ("y1", "y2"))
+        for s in range(0, len(ids), STRIP):
+            d1, d2 = np.subtract.outer(v1[s : s + STRIP], u1), np.subtract.outer(v2[s : s + STRIP], u2)
+            q = np.where(ids[s : s + STRIP, None] == other[None], 0.0, 1 / (1 + d1 * d1 + d2 * d2))
+            out[s : s + STRIP, 0] = q.sum(1)
+            q *= q
+            out[s : s + STRIP, 1], out[s : s + STRIP, 2] = (q * d1).sum(1), (q * d2).sum(1)
+        return pa.table({"id": ids, "q": out[:, 0], "r1": out[:, 1], "r2": out[:, 2]})
+
+    met = left.groupBy("block", "side").cogroup(right.groupBy("block", "side")).applyInArrow(run, "id bigint, q double, r1 double, r2 double")
+    return met.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("q", "r1", "r2")])
+
+
+def _ends(p: DataFrame, layout: DataFrame) -> DataFrame:
+    """p with the positions of both ends (x1, x2 and y1, y2)."""
+    a = layout.select(F.col("id").alias("src"), F.col("y1").alias("x1"), F.col("y2").alias("x2"))
+    return p.join(a, "src").join(layout.select(F.col("id").alias("dst"), "y1", "y2"), "dst")
+
+
 def kl_cost(p: DataFrame, layout: DataFrame) -> DataFrame:
     """One row, kl: sum of p ln((p + 1e-9) / (q + 1e-9)) over the pairs with p; q = (1 / (1 + d^2)) / its sum over all ordered pairs.
 
-    The normalizer needs all pairs of the layout; ``layout`` (id, y1, y2) is that of one fitted, bounded layout.
+    The normalizer needs all pairs of the layout (id, y1, y2), in blocks: see :func:`repulsion`.
     """
-    a = layout.select(F.col("id").alias("i"), F.col("y1").alias("x1"), F.col("y2").alias("x2"))
-    b = layout.select(F.col("id").alias("j"), "y1", "y2")
-    inv = lambda: 1.0 / (1.0 + (F.col("x1") - F.col("y1")) * (F.col("x1") - F.col("y1")) + (F.col("x2") - F.col("y2")) * (F.col("x2") - F.col("y2")))
-    z = a.join(b, F.col("i") != F.col("j")).agg(F.sum(inv()).alias("z"))
-    pairs = p.join(a, F.col("src") == F.col("i")).join(b, F.col("dst") == F.col("j")).crossJoin(F.broadcast(z))
-    q = inv() / F.col("z")
+    d1, d2 = F.col("x1") - F.col("y1"), F.col("x2") - F.col("y2")
+    pairs = _ends(p, layout).crossJoin(F.broadcast(repulsion(layout).agg(F.sum("q").alias("z"))))
+    q = 1.0 / (1.0 + d1 * d1 + d2 * d2) / F.col("z")
     return pairs.agg(F.sum(F.col("p") * F.log((F.col("p") + COST_EPS) / (q + COST_EPS))).alias("kl"))
 
 
 def exact_gradient(p: DataFrame, layout: DataFrame, exaggeration: float = 1.0) -> DataFrame:
     """id, g1, g2: one exact gradient step's direction, attraction ex p q D minus repulsion q^2 D / Z, q = 1 / (1 + d^2)."""
-    a = layout.select(F.col("id").alias("i"), F.col("y1").alias("x1"), F.col("y2").alias("x2"))
-    b = layout.select(F.col("id").alias("j"), "y1", "y2")
     d1, d2 = F.col("x1") - F.col("y1"), F.col("x2") - F.col("y2")
     q = 1.0 / (1.0 + d1 * d1 + d2 * d2)
-    pairs = a.join(b, F.col("i") != F.col("j")).select("i", "j", q.alias("q"), d1.alias("d1"), d2.alias("d2"))
-    z = pairs.agg(F.sum("q").alias("z"))
-    repel = pairs.groupBy("i").agg(F.sum(F.col("q") * F.col("q") * F.col("d1")).alias("r1"), F.sum(F.col("q") * F.col("q") * F.col("d2")).alias("r2"))
-    att = p.join(a, F.col("src") == F.col("i")).join(b, F.col("dst") == F.col("j")).groupBy("i").agg(F.sum(exaggeration * F.col("p") * q * d1).alias("a1"), F.sum(exaggeration * F.col("p") * q * d2).alias("a2"))
-    both = repel.join(att, "i", "left").crossJoin(F.broadcast(z))
-    return both.select(F.col("i").alias("id"), (F.coalesce("a1", F.lit(0.0)) - F.col("r1") / F.col("z")).alias("g1"), (F.coalesce("a2", F.lit(0.0)) - F.col("r2") / F.col("z")).alias("g2"))
+    repel = cut(repulsion(layout), "repulsion")
+    att = _ends(p, layout).groupBy(F.col("src").alias("id")).agg(F.sum(exaggeration * F.col("p") * q * d1).alias("a1"), F.sum(exaggeration * F.col("p") * q * d2).alias("a2"))
+    both = repel.join(att, "id", "left").crossJoin(F.broadcast(repel.agg(F.sum("q").alias("z"))))
+    return both.select("id", *[(F.coalesce(f"a{c}", F.lit(0.0)) - F.col(f"r{c}") / F.col("z")).alias(f"g{c}") for c in (1, 2)])

@@ -38,18 +38,15 @@ def spectral_init(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, dims:
     return y + rng.normal(0, 1e-4, y.shape)
 
 
-def umap_optimize(y: np.ndarray, src: np.ndarray, dst: np.ndarray, eps: np.ndarray, a: float, b: float, n_epochs: int, rng: np.random.Generator, learning_rate: float = 1.0, negatives: int = 5, repulsion: float = 1.0, moving: np.ndarray | None = None, pool: int | None = None, against: np.ndarray | None = None) -> np.ndarray:
+def umap_optimize(y: np.ndarray, src: np.ndarray, dst: np.ndarray, eps: np.ndarray, a: float, b: float, n_epochs: int, rng: np.random.Generator, learning_rate: float = 1.0, negatives: int = 5, repulsion: float = 1.0) -> np.ndarray:
     """Sampled attraction and repulsion over ``n_epochs``; edges are drawn as often as their schedule says.
 
-    One synchronous regime: the edges due in an epoch are applied in a few shuffled portions. With ``moving`` only those
-    rows move (the others are a fixed reference); negatives are drawn among the first ``pool`` rows, or among the rows of
-    ``against``, which are fixed and not part of ``y``.
+    One synchronous regime: the edges due in an epoch are applied in a few shuffled portions.
     """
     y, n = y.astype(float).copy(), len(y)
     use = eps <= n_epochs
     src, dst, eps = src[use], dst[use], eps[use]
     due = eps.copy()
-    pool = pool or n
     for epoch in range(1, n_epochs + 1):
         alpha = learning_rate * (1 - (epoch - 1) / n_epochs)
         at = np.flatnonzero(due <= epoch)
@@ -64,29 +61,58 @@ def umap_optimize(y: np.ndarray, src: np.ndarray, dst: np.ndarray, eps: np.ndarr
             safe = np.where(d2 > 0, d2, 1.0)
             pull = np.where(d2 > 0, -2 * a * b * safe**b / (safe * (a * safe**b + 1)), 0.0)
             step = alpha * np.clip(pull[:, None] * diff, -CLIP, CLIP)
-            if moving is not None:
-                step_i, step_j = step * moving[i, None], step * moving[j, None]
-            else:
-                step_i = step_j = step
-            _add(y, i, step_i)
-            _add(y, j, -step_j)
+            _add(y, i, step)
+            _add(y, j, -step)
             head = np.repeat(i, negatives)
-            if against is not None:
-                diff = y[head] - against[rng.integers(0, len(against), len(head))]
-            else:
-                other = rng.integers(0, pool, len(head))
-                ok = other != head
-                head, other = head[ok], other[ok]
-                diff = y[head] - y[other]
+            other = rng.integers(0, n, len(head))
+            ok = other != head
+            head, other = head[ok], other[ok]
+            diff = y[head] - y[other]
             d2 = (diff * diff).sum(1)
             push = 2 * repulsion * b / ((0.001 + d2) * (a * d2**b + 1))
             step = alpha * np.where(d2[:, None] > 0, np.clip(push[:, None] * diff, -CLIP, CLIP), CLIP)
-            if moving is not None:
-                step *= moving[head, None]
             _add(y, head, step)
     return y
 
 
+def _drawn(ids: np.ndarray, seed: int, epoch: int, width: int, below: int) -> np.ndarray:
+    """``width`` numbers under ``below`` for each id, made of the id, the seed and the epoch alone (a 64-bit mixing function)."""
+    with np.errstate(over="ignore"):
+        z = (ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64((seed * 1_000_003 + epoch) & (2**64 - 1))
+        z = z * np.uint64(0xD1342543DE82EF95) + np.arange(1, width + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        return ((z ^ (z >> np.uint64(31))) % np.uint64(below)).astype(np.int64)
+
+
+def umap_refine(y: np.ndarray, near: np.ndarray, eps: np.ndarray, ids: np.ndarray, against: np.ndarray, a: float, b: float, n_epochs: int, seed: int, learning_rate: float = 1.0, negatives: int = 5) -> np.ndarray:
+    """New rows ``y`` (m, q) moved among fixed rows: pulled to their neighbours ``near`` (m, k, q) as often as the schedule ``eps``
+    (m, k; infinite for none) says, and with every pull pushed from ``negatives`` rows of ``against``.
+
+    All rows at once; a row's path depends on its own neighbours and id alone, so any batching gives the same result.
+    """
+    y, m, k = y.astype(float).copy(), *eps.shape
+    due = eps.copy()
+    for epoch in range(1, n_epochs + 1):
+        alpha = learning_rate * (1 - (epoch - 1) / n_epochs)
+        now = due <= epoch
+        due = np.where(now, due + eps, due)
+        diff = y[:, None] - near
+        d2 = (diff * diff).sum(2)
+        safe = np.where(d2 > 0, d2, 1.0)
+        pull = np.where(now & (d2 > 0), -2 * a * b * safe**b / (safe * (a * safe**b + 1)), 0.0)
+        y += alpha * np.clip(pull[:, :, None] * diff, -CLIP, CLIP).sum(1)
+        if not negatives:
+            continue
+        far = against[_drawn(ids, seed, epoch, k * negatives, len(against))]
+        diff = y[:, None] - far
+        d2 = (diff * diff).sum(2)
+        push = 2 * b / ((0.001 + d2) * (a * d2**b + 1))
+        step = np.where(d2[:, :, None] > 0, np.clip(push[:, :, None] * diff, -CLIP, CLIP), CLIP)
+        y += alpha * (np.repeat(now, negatives, axis=1)[:, :, None] * step).sum(1)
+    return y
+
+
 def exact_repulsion(y: np.ndarray) -> tuple[np.ndarray, float]:
     """Sum of q^2 (y_i - y_j) for each row, and the sum of q over ordered pairs; in single precision, strip by strip, in place."""
     f = y.astype(np.float32)
@@ -237,15 +263,14 @@ def smooth_rows(d: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rho, best
 
 
-def tsne_transform(start: np.ndarray, p: np.ndarray, near: np.ndarray, reference: np.ndarray, n_iter: int = 250, early_iter: int = 0, early_exaggeration: float = 4.0, exaggeration: float = 1.5, learning_rate: float = 0.1, momentum: tuple[float, float] = (0.8, 0.8), max_grad_norm: float = 0.25, max_step_norm: float = np.inf, sample: np.ndarray | None = None) -> np.ndarray:
+def tsne_transform(start: np.ndarray, p: np.ndarray, near: np.ndarray, rest: np.ndarray, weight: float = 1.0, n_iter: int = 250, early_iter: int = 0, early_exaggeration: float = 4.0, exaggeration: float = 1.5, learning_rate: float = 0.1, momentum: tuple[float, float] = (0.8, 0.8), max_grad_norm: float = 0.25, max_step_norm: float = np.inf) -> np.ndarray:
     """New rows moved among fixed reference rows. Each row's path depends on nothing but its own neighbours, so any
-    batching gives the same result. ``sample``: reference rows that stand for all in the repulsion."""
+    batching gives the same result. ``near``: the positions of a row's neighbours; ``rest``: those that repel it, each counted
+    ``weight`` times."""
     y, step, gains = start.astype(float).copy(), np.zeros_like(start, float), np.ones_like(start, float)
-    rest = reference if sample is None else reference[sample]
-    weight = len(reference) / len(rest)
     for it in range(early_iter + n_iter):
         ex, m = (early_exaggeration, momentum[0]) if it < early_iter else (exaggeration, momentum[1])
-        diff = y[:, None] - reference[near]
+        diff = y[:, None] - near
         q = 1 / (1 + (diff * diff).sum(2))
         pull = ((ex * p * q)[:, :, None] * diff).sum(1)
         far = y[:, None] - rest[None]

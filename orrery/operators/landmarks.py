@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators import projection
@@ -14,6 +14,7 @@ from orrery.operators.knn import precompute_query_knn
 from orrery.operators.layouts import Embedding, opentsne, refine_rows, umap
 from orrery.operators.preprocess import column_moments, prepared, standardized
 from orrery.plans.cut import cut
+from orrery.plans.ranged import first_rows, summed_before
 
 #: Candidates and landmarks up to which farthest-first choice runs on the driver.
 FARTHEST_CANDIDATES, FARTHEST_COUNT = 12_000, 2000
@@ -65,11 +66,8 @@ def select_landmarks(df: DataFrame, landmarks=True, seed: int = 4) -> DataFrame:
     per_axis = max(2, math.ceil(2 * count / axes))
     centre = feats.withColumn("_d", F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x)).orderBy("_d", "id").limit(1).select("id")
     long = feats.select("id", F.posexplode("features").alias("axis", "x"))
-    # evenly spaced places of an axis, from range partitions and their counts: no task sorts a whole axis
-    placed = long.repartitionByRange("axis", "x", "id").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.row_number().over(Window.partitionBy("_p", "axis").orderBy("x", "id")))
-    placed = cut(placed, "landmark-places")
-    before = placed.groupBy("axis", "_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_o", F.sum("_c").over(Window.partitionBy("axis").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
-    rank = placed.join(before, ["axis", "_p"]).withColumn("_r", F.col("_i") + F.col("_o") - 1)
+    # evenly spaced places of an axis, from ranges and their counts: no task sorts a whole axis
+    rank = summed_before(long.withColumn("_one", F.lit(1).cast("bigint")), ["axis"], ["x", "id"], "_one", "_r")
     slot = F.floor(F.col("_r") * per_axis / n)
     spaced = rank.where((slot != F.floor((F.col("_r") - 1) * per_axis / n)) | (F.col("_r") == 0)).select("id")
     candidates = cut(centre.unionByName(spaced).distinct(), "landmark-candidates")
@@ -80,11 +78,11 @@ def select_landmarks(df: DataFrame, landmarks=True, seed: int = 4) -> DataFrame:
         chosen = farthest_first(x, count)
         picked = df.sparkSession.createDataFrame([(int(i),) for i in ids[chosen]], "id bigint")
     else:
-        picked = candidates.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(count)
+        picked = first_rows(candidates, [F.xxhash64("id", F.lit(seed)), "id"], count)
     picked = cut(picked, "landmark-picked")
     missing = count - picked.count()
     if missing > 0:
-        picked = picked.unionByName(df.select("id").join(picked, "id", "left_anti").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(missing))
+        picked = picked.unionByName(first_rows(df.select("id").join(picked, "id", "left_anti"), [F.xxhash64("id", F.lit(seed)), "id"], missing))
     return select_landmarks(df, picked)
 
 

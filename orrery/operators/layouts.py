@@ -20,9 +20,12 @@ from orrery.operators import affinity, fuzzy, graph, kernels
 from orrery.operators.knn import exact_knn, precompute_knn, supplied_knn
 from orrery.operators.pca import opentsne_pca_init, random_init
 from orrery.operators.preprocess import auto_k, prepared
+from orrery.operators.projection import AT_ONCE, padded
 from orrery.plans.cut import cut
 
 FIT_ROWS = 1_000_000
+#: Reference rows that projected rows are pushed from.
+PUSHERS = 100_000
 
 
 @dataclass(frozen=True)
@@ -222,34 +225,30 @@ def embed_knn(knn: DataFrame, method: str = "umap", n_components: int = 2, seed:
 def refine_rows(layout: DataFrame, knn: DataFrame, reference: DataFrame, seed: int = 4, n_epochs: int = 50, parameters: dict | None = None) -> DataFrame:
     """id, features: new rows moved by UMAP's forces among the reference rows, which stay fixed.
 
-    The directed graph of the new rows has its own scales: each is pulled to its neighbours and, with every pull, pushed from
-    ``negative_samples`` rows drawn from the whole reference layout (at most FIT_ROWS rows, checked; broadcast). Rows don't feel one another, so they are refined batch by batch
-    in any partitioning; each row draws its own random numbers from its id.
+    The directed graph of the new rows has its own scales: each is pulled to its neighbours, whose positions come by an
+    equi-join, and, with every pull, pushed from ``negative_samples`` rows. Those are drawn among at most PUSHERS reference rows
+    (those of least hash; all of a smaller layout), which are broadcast. Rows don't feel one another, so a part of an Arrow
+    batch is one numpy computation; each row draws its own numbers from its id, so any partitioning gives the same result.
     """
     c = {"learning_rate": 1.0, "negative_samples": 5} | dict(zip("ab", fuzzy.find_ab(1.0, 0.01), strict=True)) | (parameters or {})
-    rows = reference.select("id", "features").orderBy("id").limit(FIT_ROWS + 1).toArrow()
-    if rows.num_rows > FIT_ROWS:
-        raise ValueError(f"more than {FIT_ROWS} reference rows")
+    rows = reference.select("id", "features").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(PUSHERS).toArrow()
     shared = reference.sparkSession.sparkContext.broadcast(np.asarray(rows["features"].combine_chunks().flatten(), float).reshape(rows.num_rows, -1))
     edges = fuzzy.memberships(knn)
     top = edges.groupBy("src").agg(F.max("weight").alias("_top"))
     refs = reference.select(F.col("id").alias("dst"), F.col("features").alias("y"))
-    lists = edges.join(top, "src").join(refs, "dst").groupBy("src").agg(F.collect_list(F.struct("dst", (F.col("_top") / F.greatest("weight", F.lit(1e-6))).alias("eps"), "y")).alias("near"))
+    lists = edges.join(top, "src").join(refs, "dst").groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", (F.col("_top") / F.greatest("weight", F.lit(1e-6))).alias("eps"), "y"))).alias("near"))
+    both = layout.select("id", "features").join(lists, layout.id == lists.src).select("id", "features", F.col("near.eps").alias("eps"), F.col("near.y").alias("y"))
 
     def run(batches):
-        for b in batches:
-            out = []
-            for row, at, near in zip(b["id"].to_pylist(), b["features"].to_pylist(), b["near"].to_pylist(), strict=True):
-                near = sorted(near, key=lambda r: r["dst"])
-                y = np.array([at] + [r["y"] for r in near], float)
-                m = len(near)
-                moving = np.array([1.0] + [0.0] * m)
-                rng = np.random.default_rng([seed, row & 0xFFFFFFFF])
-                y = kernels.umap_optimize(y, np.zeros(m, int), np.arange(1, m + 1), np.array([r["eps"] for r in near]), c["a"], c["b"], n_epochs, rng, c["learning_rate"], c["negative_samples"], moving=moving, against=shared.value)
-                out.append(y[0].tolist())
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(out, pa.list_(pa.float64()))], ["id", "features"])
-
-    return layout.select("id", "features").join(lists, layout.id == lists.src).select("id", "features", "near").mapInArrow(run, "id bigint, features array<double>")
+        for whole in batches:
+            for s in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(s, AT_ONCE)
+                width = int(np.diff(b["eps"].offsets.to_numpy()).max())
+                at = np.asarray(b["features"].flatten(), float).reshape(b.num_rows, -1)
+                y = kernels.umap_refine(at, padded(b["y"], width), padded(b["eps"], width, np.inf), b["id"].to_numpy(), shared.value, c["a"], c["b"], n_epochs, seed, c["learning_rate"], c["negative_samples"])
+                yield pa.RecordBatch.from_arrays([b["id"], pa.array(y.tolist(), pa.list_(pa.float64()))], ["id", "features"])
+
+    return both.mapInArrow(run, "id bigint, features array<double>")
 
 
 def tuned_umap(df: DataFrame, configs: list[dict], n_neighbors: int = 15, seed: int = 4, penalty: float = 0.01) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.plans.cut import cut
+
 #: Columns up to which the exact Gram matrix is formed; wider tables use a random sketch.
 GRAM_COLUMNS = 2048
 OVERSAMPLE = 20
@@ -19,8 +21,13 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _summed(df: DataFrame, kernel, fan: int = 16) -> np.ndarray:
-    """Sum over all Arrow batches of ``kernel(x)`` (an array of fixed size), partly in tasks, then over ``fan`` groups."""
+#: Partial sums that one task adds up.
+FAN = 8
+
+
+def _summed(df: DataFrame, kernel) -> np.ndarray:
+    """Sum over all Arrow batches of ``kernel(x)`` (an array of fixed size): partly in tasks, then FAN at a time, in as many
+    rounds as the number of partial sums asks for. One array reaches the driver."""
 
     def part(batches):
         total = None
@@ -31,13 +38,21 @@ def _summed(df: DataFrame, kernel, fan: int = 16) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], ["v"])
 
-    def add(t):
-        total = sum(np.frombuffer(v, "<f8") for v in t["v"].to_pylist())
-        return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
-
-    parts = df.select("features").mapInArrow(part, "v binary").withColumn("g", F.spark_partition_id() % fan)
-    merged = parts.groupBy("g").applyInArrow(add, "v binary").collect()
-    return sum(np.frombuffer(bytes(r.v), "<f8") for r in merged)
+    def add(key, t):
+        total = 0.0
+        for v in t["v"]:
+            total = total + np.frombuffer(v.as_buffer(), "<f8")
+        return pa.table({"g": [key[0].as_py()], "v": pa.array([total.tobytes()], pa.binary())})
+
+    parts = cut(df.select("features").mapInArrow(part, "v binary").withColumn("g", F.spark_partition_id().cast("bigint")), "partial-sums")
+    left = (parts.agg(F.max("g")).first()[0] or 0) + 1
+    while left > 1:
+        parts = parts.select((F.col("g") / FAN).cast("bigint").alias("g"), "v").groupBy("g").applyInArrow(add, "g bigint, v binary")
+        left = -(-left // FAN)
+    row = parts.select("v").first()
+    if row is None:
+        raise ValueError("no rows")
+    return np.frombuffer(bytes(row.v), "<f8")
 
 
 def signed(loadings: np.ndarray) -> np.ndarray:

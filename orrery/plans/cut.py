@@ -1,7 +1,8 @@
 """Cutting lineage: results that several later steps read are written once to a shared folder.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting is absent
-(unit tests, a notebook) a folder below the system's temporary directory is used instead.
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only on a single machine and where that setting is absent
+(unit tests, a notebook) a folder below the system's temporary directory is used instead. What is written is removed when the
+application ends.
 """
 
 from __future__ import annotations
@@ -14,20 +15,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_marked: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach."""
+    """This application's folder, which all executors can reach."""
+    app = spark.sparkContext.applicationId
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+        return f"{named.rstrip('/')}/{app}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="orrery-")
         atexit.register(shutil.rmtree, _own[app], True)
     return _own[app]
 
 
+def _removed_at_end(spark: SparkSession, folder: str) -> None:
+    if folder not in _marked:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _marked.add(folder)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a Parquet table to the shared folder and read it back.
 
@@ -35,6 +46,8 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     sees true sizes (so it broadcasts a side only when the written files prove that it is small).
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").option("compression", "zstd").parquet(path)
+    _removed_at_end(spark, folder)
     return spark.read.schema(df.schema).parquet(path)

@@ -172,11 +172,26 @@ def test_landmarks_stay_and_cover(spark):
 def test_affine_copies_and_fits():
     ref_x = np.array([[0.0, 0], [1, 0], [0, 1], [1, 1], [2, 2]])
     ref_y = 2 * ref_x + 1
-    at = lambda x: projection.affine_rows(np.array(x), *(lambda o: (np.sqrt(((ref_x - x) ** 2).sum(1))[o], ref_x[o], ref_y[o]))(np.argsort(((ref_x - x) ** 2).sum(1))))
-    assert np.allclose(at([1.0, 1.0])[0], [3, 3]) and at([1.0, 1.0])[1] == 1.0
-    assert np.allclose(at([0.4, 0.6])[0], [1.8, 2.2], atol=0.05)
-    far = at([50.0, 50.0])[0]
-    assert np.linalg.norm(far - ref_y.mean(0)) < 20
+
+    def at(*rows, k=5):
+        x = np.array(rows)
+        d = np.sqrt(((ref_x[None] - x[:, None]) ** 2).sum(2))
+        o = np.argsort(d, 1)[:, :k]
+        return projection.affine_rows(x, np.take_along_axis(d, o, 1), ref_x[o], ref_y[o])
+
+    y, confidence = at([1.0, 1.0], [0.4, 0.6], [50.0, 50.0])
+    assert np.allclose(y[0], [3, 3]) and confidence[0] == 1.0
+    assert np.allclose(y[1], [1.8, 2.2], atol=0.05)
+    assert np.linalg.norm(y[2] - ref_y.mean(0)) < 20
+    # a row's result doesn't depend on the others, nor on room for more neighbours
+    for i, row in enumerate(([1.0, 1.0], [0.4, 0.6], [50.0, 50.0])):
+        assert np.allclose(at(row)[0][0], y[i])
+    x = np.array([[0.4, 0.6]])
+    d = np.sqrt(((ref_x - x) ** 2).sum(1))
+    o = np.argsort(d)[:3]
+    pad = lambda v, fill: np.concatenate([v, np.full((2, *v.shape[1:]), fill)])[None]
+    short, c = projection.affine_rows(x, pad(d[o], np.inf), pad(ref_x[o], 0.0), pad(ref_y[o], 0.0))
+    assert np.allclose(short, at([0.4, 0.6], k=3)[0]) and np.allclose(c, at([0.4, 0.6], k=3)[1])
 
 
 def test_transform_ignores_batching():
@@ -184,8 +199,8 @@ def test_transform_ignores_batching():
     ref, near = rng.normal(0, 1, (80, 2)), rng.integers(0, 80, (30, 15))
     p = kernels.perplexity_rows(np.sort(rng.exponential(1, (30, 15)), 1), 5.0)
     start = ref[near].mean(1)
-    whole = kernels.tsne_transform(start, p, near, ref, 50)
-    parts = np.concatenate([kernels.tsne_transform(start[s : s + 7], p[s : s + 7], near[s : s + 7], ref, 50) for s in range(0, 30, 7)])
+    whole = kernels.tsne_transform(start, p, ref[near], ref, n_iter=50)
+    parts = np.concatenate([kernels.tsne_transform(start[s : s + 7], p[s : s + 7], ref[near[s : s + 7]], ref, n_iter=50) for s in range(0, 30, 7)])
     assert np.allclose(whole, parts)
 
 
