@@ -99,7 +99,7 @@ def kl_cost(p: DataFrame, layout: DataFrame) -> DataFrame:
     The normalizer needs all pairs of the layout (id, y1, y2), in blocks: see :func:`repulsion`.
     """
     d1, d2 = F.col("x1") - F.col("y1"), F.col("x2") - F.col("y2")
-    pairs = _ends(p, layout).crossJoin(F.broadcast(repulsion(layout).agg(F.sum("q").alias("z"))))
+    pairs = _ends(p, layout).crossJoin(F.broadcast(cut(repulsion(layout), "repulsion").agg(F.sum("q").alias("z"))))
     q = 1.0 / (1.0 + d1 * d1 + d2 * d2) / F.col("z")
     return pairs.agg(F.sum(F.col("p") * F.log((F.col("p") + COST_EPS) / (q + COST_EPS))).alias("kl"))
 
