@@ -7,6 +7,7 @@ configurations run side by side. Larger tables are fitted on landmarks and proje
 
 from __future__ import annotations
 
+import hashlib
 import math
 import time
 from dataclasses import dataclass, field, replace
@@ -22,6 +23,7 @@ from orrery.operators.pca import opentsne_pca_init, random_init
 from orrery.operators.preprocess import auto_k, prepared
 from orrery.operators.projection import AT_ONCE, padded
 from orrery.plans.cut import cut
+from orrery.sources.layouts import cached, load_layout
 
 FIT_ROWS = 1_000_000
 #: Reference rows that projected rows are pushed from.
@@ -58,6 +60,9 @@ class UmapInit:
     parameters: dict
     timings: dict
 
+    def __repr__(self) -> str:
+        return f"UmapInit(graph={self.parameters['graph_mode']}, parameters={self.parameters}, timings={ {k: round(v, 3) for k, v in self.timings.items()} })"
+
 
 class _Clock:
     def __init__(self):
@@ -167,6 +172,9 @@ class TsneKnn:
     perplexity: float
     n_rows: int
 
+    def __repr__(self) -> str:
+        return f"TsneKnn(n={self.n_rows}, perplexity={self.perplexity})"
+
 
 def prepare_opentsne_knn(knn: DataFrame, ids: DataFrame, n_neighbors: int | None = None, perplexity: float | None = None) -> TsneKnn:
     n = ids.count()
@@ -198,8 +206,9 @@ def opentsne_knn(nn: TsneKnn, n_components: int = 2, init: DataFrame | None = No
     return Embedding(layout, "opentsne", config, clock.spent)
 
 
-def opentsne(df: DataFrame, perplexity: float | None = None, n_components: int = 2, standardize: bool = False, pca_dims: int | None = None, metric: str = "euclidean", nn: DataFrame | None = None, init: DataFrame | None = None, seed: int = 4, keep_knn: bool = False, **options) -> Embedding:
-    """t-SNE of a feature table; the start is the first principal components unless a layout is given."""
+def opentsne(df: DataFrame, perplexity: float | None = None, n_components: int = 2, standardize: bool = False, pca_dims: int | None = None, metric: str = "euclidean", nn: DataFrame | None = None, init: DataFrame | str | None = None, seed: int = 4, keep_knn: bool = False, cache_dir: str | None = None, **options) -> Embedding:
+    """t-SNE of a feature table; the start is the first principal components unless a layout, or the path of a saved one, is
+    given. With ``cache_dir`` the components are read from there if they were written for the same rows before."""
     clock = _Clock()
     data = cut(prepared(df, standardize, pca_dims, seed), "tsne-data")
     n = data.count()
@@ -207,7 +216,13 @@ def opentsne(df: DataFrame, perplexity: float | None = None, n_components: int =
     clock.mark("preprocess")
     knn = cut(supplied_knn(nn, data, k) if nn is not None else precompute_knn(data, k, metric, seed=seed), "tsne-knn")
     clock.mark("knn")
-    start = init if init is not None else opentsne_pca_init(data, n_components, seed)
+    if isinstance(init, str):
+        start = load_layout(df.sparkSession, init)
+    elif init is not None:
+        start = init
+    else:
+        components = lambda: opentsne_pca_init(data, n_components, seed)
+        start = cached(data, cache_dir, ("pca_init", n_components, seed), components) if cache_dir else components()
     e = opentsne_knn(TsneKnn(knn, perp, n), n_components, start, seed, **options)
     return replace(e, timings=clock.spent | e.timings, knn=knn if keep_knn else None)
 
@@ -251,11 +266,15 @@ def refine_rows(layout: DataFrame, knn: DataFrame, reference: DataFrame, seed: i
     return both.mapInArrow(run, "id bigint, features array<double>")
 
 
-def tuned_umap(df: DataFrame, configs: list[dict], n_neighbors: int = 15, seed: int = 4, penalty: float = 0.01) -> DataFrame:
+def tuned_umap(df: DataFrame, configs: list[dict], n_neighbors: int = 15, seed: int = 4, penalty: float = 0.01, cache_dir: str | None = None) -> DataFrame:
     """run, parameters, score: pilot fits of several configurations, one task each over one shared graph, best first.
 
-    The score is the structure score of the layout less ``penalty`` * log1p(epochs / 100).
+    The score is the structure score of the layout less ``penalty`` * log1p(epochs / 100). With ``cache_dir`` the result is read
+    from there if it was written for the same rows and configurations before.
     """
+    if cache_dir:
+        key = hashlib.sha256(repr((configs, n_neighbors, seed, penalty)).encode()).hexdigest()[:16]
+        return cached(df.select("id", "features"), cache_dir, ("umap_pilot", key), lambda: tuned_umap(df, configs, n_neighbors, seed, penalty)).orderBy(F.desc("score"))
     from orrery.operators.metrics import structure_score
 
     knn = cut(exact_knn(df, n_neighbors), "pilot-knn")

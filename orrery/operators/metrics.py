@@ -229,16 +229,35 @@ def distance_metrics(distances: DataFrame) -> DataFrame:
 
 
 def density_metrics(high_knn: DataFrame, low_knn: DataFrame, k: int) -> DataFrame:
-    """One row: correlation of the logs of the k-th neighbour's distances, and RMSE of both after (x - median) / MAD (sd if the MAD is 0)."""
-    h = high_knn.where(F.col("rank") == k).select("src_id", F.log(F.greatest("distance", F.lit(1e-12))).alias("h"))
-    y = low_knn.where(F.col("rank") == k).select("src_id", F.log(F.greatest("distance", F.lit(1e-12))).alias("y"))
-    both = h.join(y, "src_id")
+    """One row about the distances of the k-th neighbours in both spaces (radii): correlations of their logs by value and by
+    average rank, RMSE of the logs after (x - median) / MAD (sd if the MAD is 0), means, and the number of rows.
+
+    Radii that are null, NaN, infinite or negative don't count; a zero radius counts as a millionth of the least positive one.
+    With fewer than 3 rows there are only the means and the number.
+    """
+    h = high_knn.where(F.col("rank") == k).select("src_id", F.col("distance").alias("rh"))
+    y = low_knn.where(F.col("rank") == k).select("src_id", F.col("distance").alias("ry"))
+    fine = lambda c: (F.col(c) >= 0) & (F.col(c) < float("inf"))
+    radii = cut(h.join(y, "src_id").where(fine("rh") & fine("ry")), "radii")
+    positive = lambda c: F.min(F.when(F.col(c) > 0, F.col(c)))
+    least = radii.agg((F.coalesce(F.least(positive("rh"), positive("ry")), F.lit(1.0)) * 1e-6).alias("_eps"))
+    both = radii.crossJoin(F.broadcast(least)).select("src_id", "rh", "ry", F.log(F.greatest("rh", "_eps")).alias("h"), F.log(F.greatest("ry", "_eps")).alias("y"))
     med = both.agg(F.median("h").alias("mh"), F.median("y").alias("my"))
-    dev = both.crossJoin(F.broadcast(med))
+    avg_rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
+    # a sample of bounded size, so one task may rank it
+    dev = both.withColumn("ph", avg_rank("h")).withColumn("py", avg_rank("y")).crossJoin(F.broadcast(med))
     mad = dev.agg(F.median(F.abs(F.col("h") - F.col("mh"))).alias("ah"), F.median(F.abs(F.col("y") - F.col("my"))).alias("ay"), F.stddev_samp("h").alias("sh"), F.stddev_samp("y").alias("sy"))
     scale = lambda a, s: F.when(F.col(a) > 0, F.col(a)).when(F.col(s) > 0, F.col(s)).otherwise(1.0)
     gap = (F.col("h") - F.col("mh")) / scale("ah", "sh") - (F.col("y") - F.col("my")) / scale("ay", "sy")
-    return dev.crossJoin(F.broadcast(mad)).agg(F.round(_guarded(F.corr("h", "y"), "h", "y"), 6).alias("density_corr"), F.round(F.sqrt(F.avg(gap * gap)), 6).alias("density_rmse"))
+    enough = lambda value: F.when(F.count(F.lit(1)) >= 3, value)
+    return dev.crossJoin(F.broadcast(mad)).agg(
+        F.round(_guarded(F.corr("ph", "py"), "h", "y"), 6).alias("density_spearman"),
+        F.round(_guarded(F.corr("h", "y"), "h", "y"), 6).alias("density_pearson"),
+        F.round(enough(F.sqrt(F.avg(gap * gap))), 6).alias("density_log_radius_rmse"),
+        F.round(F.avg("rh"), 6).alias("density_radius_high_mean"),
+        F.round(F.avg("ry"), 6).alias("density_radius_embedding_mean"),
+        F.count(F.lit(1)).alias("density_sample_size"),
+    )
 
 
 def centroid_corr(high: DataFrame, low: DataFrame, labels: DataFrame) -> DataFrame:

@@ -445,5 +445,37 @@ def evaluation(spark, d):
     return evaluate.evaluate_embedding(_e(spark, d).select("id", "features"), _low(spark, d).select("id", "features"), _labels(spark, d), _batches(spark, d))
 
 
+def evaluation_settled(spark, d):
+    """Those of its figures that no random start enters."""
+    c = ["primary_k", "trustworthiness", "continuity", "knn_preservation", "knn_preservation_15", "knn_preservation_30", "knn_preservation_50", "mean_neighbor_rank_error", "density_spearman", "density_pearson", "density_log_radius_rmse", "density_sample_size", "silhouette", "centroid_distance_correlation"]
+    return evaluation(spark, d).select(*c)
+
+
+def evaluation_of_umap(spark, d):
+    """All figures of a layout made here."""
+    return evaluate.evaluate_embedding(_e(spark, d).select("id", "features"), umap_layout(spark, d), _labels(spark, d), _batches(spark, d), method="umap")
+
+
+def prepare_embedding_data(spark, d):
+    """Checked and standardized features."""
+    return _long(preprocess.prepared(_e(spark, d).select("id", "features"), standardize=True))
+
+
+def prepare_embedding_components(spark, d):
+    """Checked, standardized and reduced to ten components."""
+    return _long(preprocess.prepared(_e(spark, d).select("id", "features"), standardize=True, pca_dims=10))
+
+
+def refine_rows(spark, d):
+    """New rows by affine maps, then moved by the forces of the reference layout."""
+    placed = cut(_placed(spark, d).select("id", "features"), "placed")
+    return layouts.refine_rows(placed, _query_knn(spark, d, 15), _reference_layout(spark, d))
+
+
+def projection_confidence(spark, d):
+    """The tenth of the new rows of least confidence."""
+    return projection.low_confidence(_rounded(_placed(spark, d).select("id", "confidence"), "confidence"), 0.1)
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_")}
 ORACLES: dict[str, str] = dict(SQL)

@@ -24,11 +24,18 @@ def content_key(df: DataFrame, *parts: object) -> str:
     return f"{r.n}-{r.h or 0}-{tail}".replace("/", "_")
 
 
-def cached(df: DataFrame, folder: str, parts: tuple, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """The table ``make()`` of ``df`` and ``parts``, read from ``folder`` if it was written before (unless forced)."""
+def cached_at(df: DataFrame, folder: str, parts: tuple, make: Callable[[], DataFrame], force: bool = False) -> tuple[DataFrame, str, bool]:
+    """(table, path, whether it was there): the table ``make()`` of ``df`` and ``parts``, read from ``folder`` if it was written
+    before (unless forced)."""
     spark = df.sparkSession
     path = f"{folder.rstrip('/')}/{content_key(df, *parts)}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if force or not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    there = not force and done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+    if not there:
         make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path, there
+
+
+def cached(df: DataFrame, folder: str, parts: tuple, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """The table of :func:`cached_at`."""
+    return cached_at(df, folder, parts, make, force)[0]

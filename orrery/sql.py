@@ -88,6 +88,14 @@ QLOW = "qlow AS (SELECT id, v[1:2] AS y FROM e)"
 NEAR = f"{QUERY_KNN}, {QLOW}, near AS (SELECT src_id, nbr_id, rank, distance, y FROM hit JOIN qlow ON id = nbr_id WHERE rank <= {{k}})"
 FLAT = "flat AS (SELECT src_id AS id, distance, unnest(y) AS v, generate_subscripts(y, 1) - 1 AS pos FROM near)"
 
+DENSITY = """rad AS (SELECT a.distance AS rh, l.distance AS ry FROM knn a JOIN lowknn l ON a.src_id = l.src_id AND a.rank = 15 AND l.rank = 15),
+eps AS (SELECT 1e-6 * least(min(rh) FILTER (rh > 0), min(ry) FILTER (ry > 0)) AS eps FROM rad), lg AS (SELECT rh, ry, ln(greatest(rh, eps)) AS h, ln(greatest(ry, eps)) AS y FROM rad, eps),
+dr AS (SELECT *, rank() OVER (ORDER BY h) + (count(*) OVER (PARTITION BY h) - 1) / 2.0 AS ph, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS py FROM lg),
+dm AS (SELECT median(h) AS mh, median(y) AS my FROM lg), da AS (SELECT median(abs(h - mh)) AS ah, median(abs(y - my)) AS ay FROM lg, dm),
+dens AS (SELECT round(corr(ph, py), 6) AS density_spearman, round(corr(h, y), 6) AS density_pearson, round(sqrt(avg(((h - mh) / ah - (y - my) / ay) ** 2)), 6) AS density_log_radius_rmse,
+  round(avg(rh), 6) AS density_radius_high_mean, round(avg(ry), 6) AS density_radius_embedding_mean, count(*) AS density_sample_size FROM dr, dm, da)"""
+LAYOUT_AND = LAYOUT + ", "
+
 ORACLES: dict[str, str] = {
     "scaled_start": f"""WITH {E}, flat AS (SELECT id, unnest(v[1:2]) AS x, generate_subscripts(v[1:2], 1) - 1 AS pos FROM e), m AS (SELECT pos, avg(x) AS m, stddev_samp(x) AS s FROM flat GROUP BY pos)
 SELECT id, pos::INT AS pos, round((x - m) / (SELECT max(s) FROM m), 6) AS z FROM flat JOIN m USING (pos)""",
@@ -163,9 +171,22 @@ x AS (SELECT id, sum(CASE WHEN own = other THEN CASE WHEN n > 1 THEN s / (n - 1)
   sqrt((SELECT sum(dh * dh) FROM pairs)) AS nh, sqrt((SELECT sum(dl * dl) FROM pairs)) AS nl FROM pairs)
 SELECT round(corr(dh, dl), 6) AS pearson, round(corr(rh, rl), 6) AS spearman, round(sqrt(sum((dh / nh - dl / nl) ** 2)), 6) AS normalized_stress FROM r""",
     "pair_distances": f"WITH {E}, {PAIRS} SELECT a, b, round(dh, 6) AS dh, round(dl, 6) AS dl FROM pairs",
-    "density": f"""{KNN}, {LAYOUT}, {LOW_KNN}, b AS (SELECT ln(greatest(a.distance, 1e-12)) AS h, ln(greatest(l.distance, 1e-12)) AS y FROM knn a JOIN lowknn l ON a.src_id = l.src_id AND a.rank = 15 AND l.rank = 15),
-m AS (SELECT median(h) AS mh, median(y) AS my FROM b), d AS (SELECT median(abs(h - mh)) AS ah, median(abs(y - my)) AS ay FROM b, m)
-SELECT round(corr(h, y), 6) AS density_corr, round(sqrt(avg(((h - mh) / ah - (y - my) / ay) ** 2)), 6) AS density_rmse FROM b, m, d""",
+    "density": f"""{KNN}, {LAYOUT}, {LOW_KNN}, {DENSITY} SELECT * FROM dens""",
+    "evaluation_settled": f"""{KNN}, {LAYOUT_AND}{RANKS.removeprefix(LAYOUT + ', ')}, {LOW_KNN}, {DENSITY},
+rk AS (SELECT k, round(1 - 2.0 / (n * k * (2 * n - 3 * k - 1)) * t, 6) AS t, round(1 - 2.0 / (n * k * (2 * n - 3 * k - 1)) * c, 6) AS c, round(shared / (n * k)::DOUBLE, 6) AS p, round(err / (n * k)::DOUBLE, 6) AS e FROM s, n),
+sm AS (SELECT a.id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) AS s, count(*) AS n FROM low a JOIN low b ON true GROUP BY ALL),
+sx AS (SELECT id, sum(CASE WHEN own = other THEN CASE WHEN n > 1 THEN s / (n - 1) ELSE 0 END END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM sm GROUP BY id),
+cf AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e), cc AS (SELECT label, pos, avg(x) AS x FROM cf GROUP BY ALL),
+cp AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.x - b.x) ** 2)) AS dh, sqrt(sum((a.x - b.x) ** 2) FILTER (a.pos <= 2)) AS dl FROM cc a JOIN cc b ON a.label < b.label AND a.pos = b.pos GROUP BY ALL)
+SELECT 15::BIGINT AS primary_k, f.t AS trustworthiness, f.c AS continuity, f.p AS knn_preservation, f.p AS knn_preservation_15, g.p AS knn_preservation_30, h.p AS knn_preservation_50, f.e AS mean_neighbor_rank_error,
+  density_spearman, density_pearson, density_log_radius_rmse, density_sample_size, (SELECT round(avg((b - a) / greatest(a, b)), 6) FROM sx) AS silhouette, (SELECT round(corr(dh, dl), 6) FROM cp) AS centroid_distance_correlation
+FROM rk f, rk g, rk h, dens WHERE f.k = 15 AND g.k = 30 AND h.k = 50""",
+    "prepare_embedding_data": f"""WITH {E}, flat AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM e),
+m AS (SELECT pos, avg(x) AS mean, CASE WHEN stddev_samp(x) > 0 THEN stddev_samp(x) ELSE 1 END AS sd FROM flat GROUP BY pos) SELECT id, pos::INT AS pos, round((x - mean) / sd, 6) AS z FROM flat JOIN m USING (pos)""",
+    "projection_confidence": f"""{QUERY_KNN}, g AS (SELECT src_id AS id, distance, distance - min(distance) OVER (PARTITION BY src_id) AS gap FROM hit WHERE rank <= 12), s AS (SELECT id, coalesce(median(gap) FILTER (gap > 0), 1.0) AS sigma FROM g GROUP BY id),
+w AS (SELECT id, distance, exp(-gap / greatest(sigma, 1e-12)) AS w FROM g JOIN s USING (id)),
+c AS (SELECT id, round(CASE WHEN min(distance) <= 1.4901161193847656e-08 THEN 1.0 ELSE sum(w) ** 2 / sum(w * w) / count(*) END, 6) AS confidence FROM w GROUP BY id)
+SELECT id, confidence FROM (SELECT *, row_number() OVER (ORDER BY confidence, id) AS nth, count(*) OVER () AS n FROM c) WHERE nth <= ceil(0.1 * n)""",
     "centroid_corr": f"""WITH {E}, flat AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e), c AS (SELECT label, pos, avg(x) AS x FROM flat GROUP BY ALL),
 p AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.x - b.x) ** 2)) AS dh, sqrt(sum((a.x - b.x) ** 2) FILTER (a.pos <= 2)) AS dl FROM c a JOIN c b ON a.label < b.label AND a.pos = b.pos GROUP BY ALL) SELECT round(corr(dh, dl), 6) AS centroid_corr FROM p""",
     "ari_nmi": """WITH t AS (SELECT label AS x, vec_id % 3 AS y, count(*) AS n FROM embeddings GROUP BY ALL), r AS (SELECT x, sum(n) AS a FROM t GROUP BY x), c AS (SELECT y, sum(n) AS b FROM t GROUP BY y),

@@ -210,8 +210,25 @@ def test_a_table_evaluated_against_itself(spark):
         assert (r.trustworthiness, r.continuity, r.knn_preservation, r.mean_neighbor_rank_error) == (1, 1, 1, 0)
     labels = spark.createDataFrame([(i, i % 3) for i in range(40)], "id long, label int")
     one = evaluate_embedding(df, df, labels, labels.select("id", F.col("label").alias("batch")), (3, 5), local_rows=40).first()
-    assert one.pearson == 1 and one.normalized_stress == 0 and one.density_rmse == 0 and one.n_rows == 40
-    assert one.class_recall_json.startswith("{")
+    assert one.distance_pearson == 1 and one.stress == 0 and one.density_log_radius_rmse == 0 and one.density_spearman == 1 and one.n_rows == one.density_sample_size == 40
+    assert (one.trustworthiness, one.knn_preservation, one.knn_preservation_3, one.knn_preservation_15, one.global_pair_count) == (1, 1, 1, None, 780)
+    assert one.per_class_recall_json.startswith("{") and one.label_batch_tradeoff is not None and not one.evaluation_reference_cache_hit
+
+
+def test_caches_are_read_again(spark, tmp_path):
+    x = np.random.default_rng(9).normal(0, 1, (40, 4))
+    df, other = table(spark, x), table(spark, x + 1)
+    run = lambda d: evaluate_embedding(d, d, ks=(3,), cache_dir=str(tmp_path / "knn")).first()
+    first, second, third = run(df), run(df.repartition(3)), run(other)
+    assert (first.evaluation_reference_cache_hit, second.evaluation_reference_cache_hit, third.evaluation_reference_cache_hit) == (False, True, False)
+    assert first.evaluation_reference_cache_path == second.evaluation_reference_cache_path and first.density_pearson == second.density_pearson == 1
+    a = layouts.opentsne(df, 5, n_iter=20, early_iter=10, cache_dir=str(tmp_path / "start"))
+    b = layouts.opentsne(df, 5, n_iter=20, early_iter=10, cache_dir=str(tmp_path / "start"))
+    assert len(list((tmp_path / "start").iterdir())) == 1 and np.allclose(layout_array(a.layout), layout_array(b.layout))
+    a.layout.write.parquet(str(tmp_path / "saved"))
+    assert layout_array(layouts.opentsne(df, 5, init=str(tmp_path / "saved"), n_iter=5, early_iter=0).layout).shape == (40, 2)
+    pilot = lambda: layouts.tuned_umap(df, [{"n_epochs": 20}, {"n_epochs": 40}], 5, cache_dir=str(tmp_path / "pilot")).collect()
+    assert pilot() == pilot() and len(list((tmp_path / "pilot").iterdir())) == 1
 
 
 def test_singleton_class_and_tied_votes(spark):
