@@ -53,7 +53,10 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(a.flatten(), np.float64).reshape(len(a), -1)
 
 
-def _block_top(k: int, metric: str, exclude_self: bool):
+def _block_top(k: int, metric: str, exclude_self: bool, basis: np.ndarray | None = None, shortlist: int = 0):
+    """The k nearest rows of a block. A rough product chooses a shortlist, which is ranked by exact distances; with ``basis``
+    (columns x few) the rough product is that of the projected rows."""
+
     def run(key, queries, reference):
         out = [], [], []
         if queries.num_rows and reference.num_rows:
@@ -62,14 +65,15 @@ def _block_top(k: int, metric: str, exclude_self: bool):
             order = np.argsort(xid)
             x, xid = x[order], xid[order]
             mean = x.mean(0)
-            c, ct = x - mean, None
+            seen = (lambda a: a) if basis is None else lambda a: a @ basis
+            c = seen(x - (0 if metric == "inner_product" else mean))
             c2 = (c * c).sum(1)
             ct = np.ascontiguousarray(c.T)
-            kept = min(len(xid), k + 1 + 16)
+            kept = min(len(xid), max(shortlist, k + 1 + 16))
             strip = max(16, 4_000_000 // len(xid))
             for s in range(0, len(q), strip):
                 p, pid = q[s : s + strip], qid[s : s + strip]
-                rough = -(p @ x.T) if metric == "inner_product" else c2[None] - 2 * ((p - mean) @ ct)
+                rough = -(seen(p) @ ct) if metric == "inner_product" else c2[None] - 2 * (seen(p - mean) @ ct)
                 if exclude_self:
                     rough[pid[:, None] == xid[None]] = np.inf
                 near = np.argpartition(rough, kept - 1, axis=1)[:, :kept] if kept < len(xid) else np.tile(np.arange(len(xid)), (len(p), 1))
@@ -112,7 +116,43 @@ def exact_knn(reference: DataFrame, k: int, metric: str = "euclidean", query: Da
     return _by_blocks(ref, qry, n_ref, n_qry, k, metric, self_search)
 
 
-def _by_blocks(ref: DataFrame, qry: DataFrame, n_ref: int, n_qry: int, k: int, metric: str, exclude_self: bool) -> DataFrame:
+#: Columns of the projection, and rows of the shortlist up to 15, up to 50 and beyond that many neighbours.
+PROJECTED_COLUMNS, SHORTLISTS = 128, (288, 384, 512)
+
+
+def projected_knn(reference: DataFrame, k: int, metric: str = "euclidean", query: DataFrame | None = None, columns: int = PROJECTED_COLUMNS, shortlist: int | None = None, seed: int = 4, target_recall: float = 0.9) -> DataFrame:
+    """As :func:`exact_knn` for wide rows: in each pair of blocks a seeded Gaussian projection to ``columns`` columns chooses a
+    shortlist for every query, which is ranked by exact distances. Distances are exact, a neighbour may be missed.
+
+    The shortlist starts at ``shortlist`` rows (SHORTLISTS) and doubles until a bounded sample of queries (PILOT_ROWS) finds
+    ``target_recall`` of its true neighbours, two standard errors below the mean. At the size of a block it is an exact search.
+    """
+    self_search = query is None
+    ref = cut(rows_for(reference.select("id", "features"), metric), "knn-reference")
+    qry = ref if self_search else cut(rows_for(query.select("id", "features"), metric), "knn-query")
+    n_ref, n_qry = ref.count(), qry.count()
+    if not 1 <= k <= max(1, n_ref - self_search):
+        raise ValueError(f"k must be between 1 and {n_ref - self_search}")
+    first = ref.select(F.size("features").alias("p")).first()
+    basis = None
+    if first is not None and first.p > columns:
+        basis = np.random.default_rng(seed).standard_normal((first.p, columns)) / math.sqrt(columns)
+    size = shortlist or (SHORTLISTS[0] if k <= 15 else SHORTLISTS[1] if k <= 50 else SHORTLISTS[2])
+    if basis is not None:
+        pilot = cut(qry.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(PILOT_ROWS), "projected-pilot")
+        n = pilot.count()
+        truth = cut(_by_blocks(ref, pilot, n_ref, n, k, metric, self_search), "projected-truth")
+        while size < REFERENCE_BLOCK:
+            found = _by_blocks(ref, pilot, n_ref, n, k, metric, self_search, basis, size)
+            hits = truth.join(found.select("src_id", "nbr_id", F.lit(1).alias("_hit")), ["src_id", "nbr_id"], "left").groupBy("src_id").agg((F.count("_hit") / F.count(F.lit(1))).alias("r"))
+            r = hits.agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), F.count(F.lit(1)).alias("n")).first()
+            if not r.n or r.mean - 2 * r.sd / math.sqrt(r.n) >= target_recall:
+                break
+            size *= 2
+    return _by_blocks(ref, qry, n_ref, n_qry, k, metric, self_search, basis, size)
+
+
+def _by_blocks(ref: DataFrame, qry: DataFrame, n_ref: int, n_qry: int, k: int, metric: str, exclude_self: bool, basis: np.ndarray | None = None, shortlist: int = 0) -> DataFrame:
     spark = ref.sparkSession
     r_blocks = max(1, math.ceil(n_ref / REFERENCE_BLOCK))
     q_blocks = max(1, math.ceil(n_qry / QUERY_BLOCK), min(math.ceil(n_qry / 128), math.ceil(cores(spark) / r_blocks)))
@@ -120,7 +160,7 @@ def _by_blocks(ref: DataFrame, qry: DataFrame, n_ref: int, n_qry: int, k: int, m
     keys = ["q", "r"]
     left = qry.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1)))).repartition(n, *keys)
     right = ref.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(r_blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).repartition(n, *keys)
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_top(k, metric, exclude_self), KNN)
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_top(k, metric, exclude_self, basis, shortlist), KNN)
     return ranked(met, k)
 
 
@@ -136,7 +176,8 @@ def _lists(spark, sample: np.ndarray, n_lists: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), min(n_lists, len(sample)), replace=False)].copy()
     for _ in range(8):
-        near = ((centres * centres).sum(1)[None] - 2 * sample @ centres.T).argmin(1)
+        c2 = (centres * centres).sum(1)
+        near = np.concatenate([(c2[None] - 2 * sample[s : s + 1024] @ centres.T).argmin(1) for s in range(0, len(sample), 1024)])
         sums, counts = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
         np.add.at(sums, near, sample)
         centres[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
@@ -196,7 +237,7 @@ def ivf_knn(reference: DataFrame, k: int, metric: str = "euclidean", query: Data
     spark = reference.sparkSession
     sample = np.array([r.features for r in ref.orderBy(F.xxhash64("id", F.lit(seed)), "id").select("features").limit(LIST_SAMPLE).collect()], float)
     centres = _lists(spark, sample, n_lists, seed)
-    shared = spark.sparkContext.broadcast(centres)  # n_lists x dims, fixed by the parameters
+    shared = spark.sparkContext.broadcast(centres)  # at most LIST_SAMPLE x dims
 
     def nearest_lists(count):
         def run(batches):
@@ -217,9 +258,12 @@ def ivf_knn(reference: DataFrame, k: int, metric: str = "euclidean", query: Data
         n_probe = _probes_needed(target_recall, n_probe, ref, qry, ref_in, centres, k, metric, self_search, seed)
     sizes = ref_in.groupBy("r").agg(F.ceil(F.count(F.lit(1)) / REFERENCE_BLOCK).cast("int").alias("blocks"))
     ref_in = ref_in.join(sizes, "r").withColumn("q", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-    qry_in = qry.mapInArrow(nearest_lists(n_probe), placed).join(sizes, "r").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asked = cut(qry.mapInArrow(nearest_lists(n_probe), placed), "ivf-queries")
+    parts = asked.groupBy("r").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
+    qry_in = asked.join(sizes, "r").join(parts, "r").withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "parts")
+    ref_in = ref_in.join(parts, "r").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     n = heavy_partitions(spark, 4 * len(centres))
-    keys = ["q", "r"]
+    keys = ["q", "r", "part"]
     met = qry_in.repartition(n, *keys).groupBy(*keys).cogroup(ref_in.repartition(n, *keys).groupBy(*keys)).applyInArrow(_block_top(k, metric, self_search), KNN)
     return ranked(met, k)
 

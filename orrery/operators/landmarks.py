@@ -49,6 +49,17 @@ def selection_features(df: DataFrame, seed: int = 4) -> DataFrame:
     return standardized(df.select("id", F.concat(F.slice("features", 1, m), F.array(*proj)).alias("features")))
 
 
+def spaced_rows(feats: DataFrame, per_axis: int) -> DataFrame:
+    """axis, slot, id: along each axis of the features the rows at the first of ``per_axis`` evenly spaced parts of the order by
+    (value, id). Places come from ranges and their counts: no task sorts a whole axis."""
+    n = feats.count()
+    long = feats.select("id", F.posexplode("features").alias("axis", "x")).withColumn("_one", F.lit(1).cast("bigint"))
+    rank = summed_before(long, ["axis"], ["x", "id"], "_one", "_r")
+    slot = F.floor(F.col("_r") * per_axis / n).cast("bigint")
+    first = (slot != F.floor((F.col("_r") - 1) * per_axis / n)) | (F.col("_r") == 0)
+    return rank.where(first).select("axis", slot.alias("slot"), "id")
+
+
 def select_landmarks(df: DataFrame, landmarks=True, seed: int = 4) -> DataFrame:
     """id, is_landmark of every row: a disjoint cover. ``landmarks``: True (auto), a share, a count, or a table with ids.
 
@@ -65,11 +76,7 @@ def select_landmarks(df: DataFrame, landmarks=True, seed: int = 4) -> DataFrame:
     axes = feats.select(F.size("features").alias("p")).first().p
     per_axis = max(2, math.ceil(2 * count / axes))
     centre = feats.withColumn("_d", F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x)).orderBy("_d", "id").limit(1).select("id")
-    long = feats.select("id", F.posexplode("features").alias("axis", "x"))
-    # evenly spaced places of an axis, from ranges and their counts: no task sorts a whole axis
-    rank = summed_before(long.withColumn("_one", F.lit(1).cast("bigint")), ["axis"], ["x", "id"], "_one", "_r")
-    slot = F.floor(F.col("_r") * per_axis / n)
-    spaced = rank.where((slot != F.floor((F.col("_r") - 1) * per_axis / n)) | (F.col("_r") == 0)).select("id")
+    spaced = spaced_rows(feats, per_axis).select("id")
     candidates = cut(centre.unionByName(spaced).distinct(), "landmark-candidates")
     m = candidates.count()
     if m > count and m <= FARTHEST_CANDIDATES and count <= FARTHEST_COUNT:

@@ -23,7 +23,7 @@ from orrery.operators.pca import opentsne_pca_init, random_init
 from orrery.operators.preprocess import auto_k, prepared
 from orrery.operators.projection import AT_ONCE, padded
 from orrery.plans.cut import cut
-from orrery.sources.layouts import cached, load_layout
+from orrery.sources.layouts import cached, content_key, load_layout
 
 FIT_ROWS = 1_000_000
 #: Reference rows that projected rows are pushed from.
@@ -266,18 +266,34 @@ def refine_rows(layout: DataFrame, knn: DataFrame, reference: DataFrame, seed: i
     return both.mapInArrow(run, "id bigint, features array<double>")
 
 
-def tuned_umap(df: DataFrame, configs: list[dict], n_neighbors: int = 15, seed: int = 4, penalty: float = 0.01, cache_dir: str | None = None) -> DataFrame:
-    """run, parameters, score: pilot fits of several configurations, one task each over one shared graph, best first.
+#: Weights of the parts of a pilot's quality, without and with labels.
+PILOT_WEIGHTS = {"trust": 0.25, "preserve50": 0.35, "continuity50": 0.25, "preserve": 0.15}
+PILOT_LABEL_WEIGHTS = {"trust": 0.25, "preserve": 0.20, "continuity": 0.15, "label": 0.25, "rare": 0.15}
 
-    The score is the structure score of the layout less ``penalty`` * log1p(epochs / 100). With ``cache_dir`` the result is read
-    from there if it was written for the same rows and configurations before.
+
+def pilot_quality(parts: dict[str, float | None], labelled: bool) -> float:
+    """Weighted mean of the parts that there are."""
+    weights = PILOT_LABEL_WEIGHTS if labelled else PILOT_WEIGHTS
+    there = {c: w for c, w in weights.items() if parts.get(c) is not None}
+    return sum(parts[c] * w for c, w in there.items()) / sum(there.values())
+
+
+def tuned_umap(df: DataFrame, configs: list[dict], n_neighbors: int = 15, seed: int = 4, penalty: float = 0.01, cache_dir: str | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """run, parameters, quality, score: pilot fits of several configurations, one task each over one shared graph, best first.
+
+    Quality is made of the neighbours kept among ``n_neighbors`` and among 50 and, given labels (id, label), of the label
+    vote's accuracy and the recall of rare classes. The score is the quality less ``penalty`` * log1p(epochs / 100), the part
+    of the time that a configuration decides. With ``cache_dir`` the result is read from there if it was written for the same
+    rows and configurations before.
     """
-    if cache_dir:
-        key = hashlib.sha256(repr((configs, n_neighbors, seed, penalty)).encode()).hexdigest()[:16]
-        return cached(df.select("id", "features"), cache_dir, ("umap_pilot", key), lambda: tuned_umap(df, configs, n_neighbors, seed, penalty)).orderBy(F.desc("score"))
-    from orrery.operators.metrics import structure_score
+    from orrery.operators import metrics
 
-    knn = cut(exact_knn(df, n_neighbors), "pilot-knn")
+    if cache_dir:
+        key = hashlib.sha256(repr((configs, n_neighbors, seed, penalty, content_key(labels) if labels is not None else None)).encode()).hexdigest()[:16]
+        return cached(df.select("id", "features"), cache_dir, ("umap_pilot", key), lambda: tuned_umap(df, configs, n_neighbors, seed, penalty, None, labels)).orderBy(F.desc("score"))
+    wide = min(50, df.count() - 1)
+    far = cut(exact_knn(df, max(wide, n_neighbors)), "pilot-knn-50")
+    knn = cut(far.where(F.col("rank") <= n_neighbors), "pilot-knn")
     start = umap_init(knn, seed=seed)
     full = []
     for c in configs:
@@ -287,6 +303,13 @@ def tuned_umap(df: DataFrame, configs: list[dict], n_neighbors: int = 15, seed:
     runs = cut(_one_task(start.edges, start.layout, full, _sgd), "pilot-layouts")
     rows = []
     for i, c in enumerate(configs):
-        low = exact_knn(runs.where(F.col("run") == i).select("id", "features"), n_neighbors)
-        rows.append((i, str(c), float(structure_score(knn, low, n_neighbors).first()[0] - penalty * math.log1p(full[i]["n_epochs"] / 100))))
-    return df.sparkSession.createDataFrame(rows, "run int, parameters string, score double").orderBy(F.desc("score"))
+        low = cut(exact_knn(runs.where(F.col("run") == i).select("id", "features"), max(wide, n_neighbors)), "pilot-low")
+        kept = {k: metrics.preservation(far, low, k).first()[0] for k in (n_neighbors, wide)}
+        # two lists of one length lack as many neighbours as they have false ones, so the three parts agree
+        parts = dict.fromkeys(("trust", "preserve", "continuity"), kept[n_neighbors]) | dict.fromkeys(("preserve50", "continuity50"), kept[wide])
+        if labels is not None:
+            per = cut(metrics.label_accuracy(metrics.label_votes(low.where(F.col("rank") <= n_neighbors), labels, n_neighbors)), "pilot-classes")
+            parts |= {"label": per.agg(F.sum("correct") / F.sum("n")).first()[0], "rare": metrics.rare_recall(per).first().rare_recall}
+        quality = float(pilot_quality(parts, labels is not None))
+        rows.append((i, str(c), quality, quality - penalty * math.log1p(full[i]["n_epochs"] / 100)))
+    return df.sparkSession.createDataFrame(rows, "run int, parameters string, quality double, score double").orderBy(F.desc("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from orrery.operators import affinity, community, evaluate, fuzzy, graph, knn, landmarks, layouts, metrics, pca, preprocess, projection, schema_drift
@@ -135,6 +136,11 @@ def knn_lists(spark, d):
     return _rounded(knn.ivf_knn(_e(spark, d), 15, n_lists=16, n_probe=8, target_recall=0.9), "distance")
 
 
+def knn_projected(spark, d):
+    """Shortlists by a projection to half the columns, ranked by exact distances."""
+    return _rounded(knn.projected_knn(_e(spark, d), 15, columns=32), "distance")
+
+
 def knn_connectivity(spark, d):
     return graph.connectivity(_knn(spark, d, 3), _labels(spark, d))
 
@@ -328,6 +334,12 @@ def pca_new_rows(spark, d):
     return _long(pca.fit_pca(reference, 5).transform(query.select("id", "features")))
 
 
+def pca_given(spark, d):
+    """Scores of rows by given loadings, centre and scale."""
+    given = pca.Pca(np.array([[1.0, 0.0], [0.5, 0.25], [-0.5, 2.0]] + [[0.0, 0.0]] * 61), np.ones(2), np.full(64, 0.125), np.full(64, 0.5), 0)
+    return _long(given.transform(_e(spark, d).select("id", "features")))
+
+
 def pca_start(spark, d):
     return pca.opentsne_pca_init(_e(spark, d)).select("id", F.posexplode("features").alias("pos", "z"))
 
@@ -383,6 +395,11 @@ def transform_tsne(spark, d):
     return projection.transform_tsne(_reference_layout(spark, d), _query_knn(spark, d, 25))
 
 
+def landmark_places(spark, d):
+    """Rows at twenty evenly spaced places along the first four columns."""
+    return landmarks.spaced_rows(_e(spark, d).select("id", F.slice("features", 1, 4).alias("features")), 20)
+
+
 def landmark_selection(spark, d):
     return landmarks.select_landmarks(_e(spark, d).select("id", "features"))
 
@@ -405,7 +422,7 @@ def umap_binary_layout(spark, d):
 
 
 def umap_pilot(spark, d):
-    return layouts.tuned_umap(_e(spark, d).select("id", "features"), [{"n_epochs": 100}, {"n_epochs": 200, "min_dist": 0.1}])
+    return layouts.tuned_umap(_e(spark, d).select("id", "features"), [{"n_epochs": 100}, {"n_epochs": 200, "min_dist": 0.1}], labels=_labels(spark, d))
 
 
 def tsne_layout(spark, d):

@@ -104,6 +104,10 @@ w AS (SELECT src_id AS id, exp(-gap / sigma) AS w, unnest(y) AS v, generate_subs
     "project_interpolated": f"{NEAR.format(k=10)}, {FLAT} SELECT id, pos::INT AS pos, round(sum(v / (distance + 1e-6)) / sum(1 / (distance + 1e-6)), 6) AS z FROM flat GROUP BY id, pos",
     "transform_init_median": f"{NEAR.format(k=15)}, {FLAT} SELECT id, pos::INT AS pos, round(median(v), 6) AS z FROM flat GROUP BY id, pos",
     "transform_init_weighted": f"{NEAR.format(k=15)}, {FLAT} SELECT id, pos::INT AS pos, round(sum(v / (distance + 1e-6)) / sum(1 / (distance + 1e-6)), 6) AS z FROM flat GROUP BY id, pos",
+    "landmark_places": f"""WITH {E}, flat AS (SELECT id, unnest(v[1:4]) AS x, generate_subscripts(v[1:4], 1) - 1 AS axis FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY x, id) - 1 AS r, count(*) OVER (PARTITION BY axis) AS n FROM flat)
+SELECT axis::INT AS axis, (r * 20 // n)::BIGINT AS slot, id FROM r WHERE r = 0 OR r * 20 // n <> (r - 1) * 20 // n""",
+    "pca_given": f"""WITH {E}, z AS (SELECT id, list_transform(v, lambda x: (x - 0.125) / 0.5) AS z FROM e)
+SELECT id, 0::INT AS pos, round(z[1] + 0.5 * z[2] - 0.5 * z[3], 6) AS z FROM z UNION ALL SELECT id, 1::INT, round(0.25 * z[2] + 2.0 * z[3], 6) FROM z""",
     "landmark_split": "SELECT vec_id AS id, vec_id % 5 = 0 AS is_landmark FROM embeddings",
     "finite_check": f"WITH {E} SELECT count(*) AS n_rows, max(len(v))::BIGINT AS n_dims, bool_and(len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0) AS all_finite, max(len(v)) = min(len(v)) AS one_length FROM e",
     "standardize": f"""WITH {E}, flat AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM e),

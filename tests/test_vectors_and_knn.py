@@ -103,6 +103,18 @@ def test_recall_of_the_lists_query(spark):
     assert r.mean_recall >= 0.9
 
 
+def test_recall_of_the_projected_query(spark):
+    """The query's own parameters, over the whole table."""
+    from orrery import queries
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(f"{folder}/embeddings.parquet"):
+        pytest.skip("no test data")
+    r = knn.knn_recall(queries.knn_projected(spark, folder), queries.knn_euclidean(spark, folder), 15).first()
+    print("recall of knn_projected:", r)
+    assert r.mean_recall >= 0.9
+
+
 def test_probes_grow_until_the_recall_holds(spark):
     x = np.random.default_rng(8).normal(0, 1, (1500, 24))
     truth = knn.exact_knn(table(spark, x), 10)
@@ -187,3 +199,14 @@ def test_components_of_any_graph(spark, pairs):
     edges = spark.createDataFrame(pairs, "src long, dst long")
     got = {r.id: r.component for r in graph.components(edges, vertices).collect()}
     assert got == {i: root(i) for i in range(16)}
+
+
+def test_projected_shortlists_find_nearly_all(spark):
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rng.normal(0, 1, (1500, 40)) @ rng.normal(0, 1, (40, 300)))], "id long, features array<double>")
+    for metric in ("euclidean", "cosine", "inner_product"):
+        r = knn.knn_recall(knn.projected_knn(df, 10, metric), knn.exact_knn(df, 10, metric), 10).first()
+        print("recall of the projected search:", metric, r)
+        assert r.mean_recall >= 0.99
+    narrow = df.selectExpr("id", "slice(features, 1, 5) AS features")
+    assert sorted(knn.projected_knn(narrow, 5).collect()) == sorted(knn.exact_knn(narrow, 5).collect())
