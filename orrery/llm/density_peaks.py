@@ -6,7 +6,7 @@ never the pairs. Pass one gives each row its nearest neighbours and from them it
 other rows lie; a small scale is a high density). A row's nearest denser row is mostly among those neighbours; pass two looks
 for it among all rows only for those whose known neighbours are all less dense and yet all lie within reach. Pointers to
 denser rows that are long for the scale of their target are cut; following the others gives trees, and a tree whose peak lies
-apart from everything denser is a cluster.
+apart from everything denser and whose rows have their nearest rows inside it is a cluster.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ APART, APART_WITH_EDGES = 1.4, 1.15
 #: An edge of at least this weight ties its ends together; so many of them tie an unusable row to a cluster.
 HEAVY_WEIGHT, SEVERAL = 0.2, 2
 MIN_ROWS = 4
+#: The rows of a cluster lie together: of their NEIGHBOURS nearest rows at least this part are in it. In a tree of scattered rows,
+#: which have neighbours in other trees, it is about a half; in a cluster nearly all, so the value matters little.
+CLOSED = 0.8
 #: Neighbours of a row that pass one keeps (copies counted); any number from NEIGHBOURS on gives the same clusters.
 KEPT = 8
 
@@ -156,8 +159,8 @@ def _nearest_denser(key, t):
 
 
 def scales(points: DataFrame) -> DataFrame:
-    """rep, dataset, n_copies, near, scale: the KEPT nearest neighbours (squared distance, rep) of each point and the distance
-    within which NEIGHBOURS other rows lie, copies counted.
+    """rep, dataset, n_copies, near, closest, scale: the KEPT nearest neighbours (squared distance, rep) of each point, those of them
+    that are among its NEIGHBOURS nearest rows, and the distance within which so many other rows lie, copies counted.
 
     A vector of more copies than that gets the distance of its nearest other vector; a vector in a dataset of too few rows the
     distance of its farthest neighbour. A vector that is alone in its dataset has no scale and no row.
@@ -170,11 +173,12 @@ def scales(points: DataFrame) -> DataFrame:
     near = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, KEPT)
     merged = found.groupBy("rep", "dataset", "n_copies").agg(near.alias("near")).where("size(near) > 0")
     third = F.greatest(F.lit(1), F.least(F.lit(NEIGHBOURS + 1) - F.col("n_copies"), F.size("near"))).cast("int")
-    return merged.withColumn("scale", F.sqrt(F.element_at("near", third)["d2"]))
+    closest = F.greatest(F.lit(0), F.least(F.lit(NEIGHBOURS + 1) - F.col("n_copies"), F.size("near"))).cast("int")
+    return merged.withColumns({"closest": F.slice(F.col("near.to"), F.lit(1), closest), "scale": F.sqrt(F.element_at("near", third)["d2"])})
 
 
 def nearest_denser(points: DataFrame, scaled: DataFrame) -> DataFrame:
-    """rep, dataset, n_copies, scale, delta, to, target: the nearest denser row within REACH scales, its distance and its scale;
+    """rep, dataset, n_copies, scale, closest, delta, to, target: the nearest denser row within REACH scales, its distance and its scale;
     null where there is none. ``scaled`` is :func:`scales` (cut). Farther rows can be nobody's target: a target is denser."""
     own = scaled.select("rep", "dataset", "n_copies", "scale")
     limit = REACH * F.col("scale")
@@ -183,7 +187,7 @@ def nearest_denser(points: DataFrame, scaled: DataFrame) -> DataFrame:
     met = within.join(target, "to").where("target < scale OR target = scale AND to < rep").select("rep", "d2", "to", "target")
     known = met.groupBy("rep").agg(F.min(F.struct("d2", "to", "target")).alias("near"))
     full = (F.size("near") >= KEPT) & (F.sqrt(F.element_at("near", -1)["d2"]) <= limit)
-    first = scaled.withColumn("asks", full).select("rep", "dataset", "n_copies", "scale", "asks").join(known, "rep", "left").withColumn("asks", F.col("asks") & F.col("near").isNull())
+    first = scaled.withColumn("asks", full).select("rep", "dataset", "n_copies", "scale", "closest", "asks").join(known, "rep", "left").withColumn("asks", F.col("asks") & F.col("near").isNull())
     first = cut(first, "denser")
 
     ask = first.where("asks").groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
@@ -196,7 +200,7 @@ def nearest_denser(points: DataFrame, scaled: DataFrame) -> DataFrame:
     far = sent.repartition(heavy_partitions(points.sparkSession), *keys).groupBy(*keys).applyInArrow(_nearest_denser, "rep bigint, d2 double, to bigint, target double")
     best = far.groupBy("rep").agg(F.min(F.struct("d2", "to", "target")).alias("_far"))
     near = F.coalesce("near", F.when(F.sqrt("_far.d2") <= limit, F.col("_far")))
-    return first.join(best, "rep", "left").select("rep", "dataset", "n_copies", "scale", near.alias("near")).select("rep", "dataset", "n_copies", "scale", F.sqrt("near.d2").alias("delta"), "near.to", "near.target")
+    return first.join(best, "rep", "left").select("rep", "dataset", "n_copies", "scale", "closest", near.alias("near")).select("rep", "dataset", "n_copies", "scale", "closest", F.sqrt("near.d2").alias("delta"), "near.to", "near.target")
 
 
 def heavy_edges(edges: DataFrame) -> DataFrame:
@@ -225,12 +229,21 @@ def clusters(matrix: DataFrame, edges: DataFrame) -> DataFrame:
     sizes = rows.where("usable").groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     points = cut(points_of(rows, doubles).join(sizes, "dataset").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "cluster-points")
     denser = nearest_denser(points, cut(scales(points), "scales"))
-    pointed = denser.select("rep", "dataset", "n_copies", "scale", F.when(F.col("delta") <= REACH * F.col("target"), F.col("to")).alias("to"), F.coalesce(F.try_divide("delta", "scale"), F.lit(float("inf"))).alias("apart"))
-    linked = follow(pointed, "rep", "to", "peak", ["dataset", "n_copies", "scale", "apart"])
-
-    trees = linked.groupBy("peak").agg(F.sum("n_copies").alias("size"), F.min("rep").alias("cluster_id"), F.max(F.when(F.col("rep") == F.col("peak"), F.col("apart"))).alias("apart"))
-    trees = cut(trees.where((F.col("size") >= MIN_ROWS) & (F.col("apart") >= APART_WITH_EDGES)), "trees")
-    every = cut(linked.drop("apart").join(trees, "peak").select("rep", "dataset", "peak", "cluster_id", "scale", "size", "apart"), "in-trees")
+    pointed = denser.select("rep", "dataset", "n_copies", "scale", "closest", F.when(F.col("delta") <= REACH * F.col("target"), F.col("to")).alias("to"), F.coalesce(F.try_divide("delta", "scale"), F.lit(float("inf"))).alias("apart"))
+    linked = follow(pointed, "rep", "to", "peak", ["dataset", "n_copies", "scale", "apart", "closest"])
+
+    own = F.col("n_copies") * F.least(F.lit(NEIGHBOURS), F.col("n_copies") - 1)
+    trees = linked.groupBy("peak").agg(
+        F.sum("n_copies").alias("size"), F.min("rep").alias("cluster_id"), F.max(F.when(F.col("rep") == F.col("peak"), F.col("apart"))).alias("apart"),
+        F.sum(own).alias("copied"), F.sum(own + F.col("n_copies") * F.size("closest")).alias("nearest"),
+    )
+    # how many of its rows' nearest rows are in the same tree
+    met = linked.select("peak", "n_copies", F.explode("closest").alias("to")).join(linked.select(F.col("rep").alias("to"), F.col("peak").alias("_other")), "to")
+    inside = met.where("peak = _other").groupBy("peak").agg(F.sum("n_copies").alias("met"))
+    closed = F.coalesce("met", F.lit(0)) + F.col("copied") >= CLOSED * F.col("nearest")
+    trees = trees.where((F.col("size") >= MIN_ROWS) & (F.col("apart") >= APART_WITH_EDGES)).join(inside, "peak", "left").where(closed)
+    trees = cut(trees.select("peak", "size", "cluster_id", "apart"), "trees")
+    every = cut(linked.drop("apart", "closest").join(trees, "peak").select("rep", "dataset", "peak", "cluster_id", "scale", "size", "apart"), "in-trees")
     owned = every.unionByName(doubles.where("row_id <> rep").join(every, "rep").select(F.col("row_id").alias("rep"), "dataset", "peak", "cluster_id", "scale", "size", "apart")).withColumnRenamed("rep", "row_id")
     heavy = heavy_edges(edges)
     # edges are counted only in the trees that need them
