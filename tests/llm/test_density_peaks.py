@@ -88,7 +88,7 @@ def test_scattered_rows_are_no_clusters(spark):
     rng = np.random.default_rng(7)
     centres = rng.normal(0, 60, (8, 12))
     rows = [(i, "a", 12, (centres[i % 8] + rng.normal(0, 1, 12)).tolist()) for i in range(160)]
-    rows += [(1000 + i, "a", 12, rng.normal(0, 20, 12).tolist()) for i in range(1500)]
+    rows += [(1000 + i, "a", 12, rng.uniform(-150, 150, 12).tolist()) for i in range(1500)]
     matrix = spark.createDataFrame([(*r, False, None, "", "") for r in rows], MATRIX)
     got = {r.row_id: r.cluster_id for r in clusters(matrix, spark.createDataFrame([], EDGES)).collect()}
     assert all(got[i] == i % 8 for i in range(160))
