@@ -346,7 +346,7 @@ def projections(files: DataFrame, profile: DataFrame, report: DataFrame) -> Data
     # the old name of a rename is looked up just before the file
     asks = begun.where("old IS NOT NULL").select("stream_id", "written_at", "file_id", F.col("old").alias("name"), F.lit(None).cast("bigint").alias("mark"), F.lit(0).alias("rank"), F.col("node").alias("asks"))
     answered = carried(marks.unionByName(asks), ["stream_id", "name"], steps, {"mark": "mark"}, current=True).where("asks IS NOT NULL").select(F.col("asks").alias("node"), F.col("mark").alias("to"))
-    roots = follow(begun.select("node").join(answered, "node", "left"), "node", "to", "root").join(begun.select(F.col("node").alias("root"), F.col("name").alias("canonical")), "root").select("node", "canonical")
+    roots = follow(cut(begun.select("node").join(answered, "node", "left"), "chain"), "node", "to", "root").join(begun.select(F.col("node").alias("root"), F.col("name").alias("canonical")), "root").select("node", "canonical")
     use = placed.where("stream_id IS NOT NULL").select("stream_id", "written_at", "file_id", "name", F.lit(None).cast("bigint").alias("mark"), F.lit(2).alias("rank"), F.lit(1).cast("bigint").alias("asks"))
     owned = carried(marks.unionByName(use), ["stream_id", "name"], steps, {"mark": "mark"}, current=True).where("asks IS NOT NULL").select("file_id", "name", F.col("mark").alias("node"))
     named = owned.join(roots, "node", "left").select("file_id", F.col("name").alias("field_name"), F.coalesce("canonical", "name").alias("canonical"))

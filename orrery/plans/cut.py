@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructType
 
 _own: dict[str, str] = {}
 _marked: set[str] = set()
@@ -39,6 +40,17 @@ def _removed_at_end(spark: SparkSession, folder: str) -> None:
         _marked.add(folder)
 
 
+def _number_lists(schema: StructType) -> list[str]:
+    """Parquet paths of the floating-point numbers in lists: hardly one comes twice, so a dictionary is work for nothing."""
+    paths = []
+    for f in schema.fields:
+        if isinstance(f.dataType, ArrayType):
+            item, at = f.dataType.elementType, f"{f.name}.list.element"
+            inside = [(f"{at}.{x.name}", x.dataType) for x in item.fields] if isinstance(item, StructType) else [(at, item)]
+            paths += [p for p, t in inside if isinstance(t, (FloatType, DoubleType))]
+    return paths
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a Parquet table to the shared folder and read it back.
 
@@ -48,6 +60,7 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     folder = shared_folder(spark)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").option("compression", "zstd").parquet(path)
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c in _number_lists(df.schema)}
+    df.write.mode("error").option("compression", "zstd").options(**plain).parquet(path)
     _removed_at_end(spark, folder)
     return spark.read.schema(df.schema).parquet(path)
