@@ -158,14 +158,14 @@ def _nearest_denser(key, t):
     return pa.table({c: np.concatenate(v) for c, v in out.items()})
 
 
-def scales(points: DataFrame) -> DataFrame:
+def scales(points: DataFrame, units: float) -> DataFrame:
     """rep, dataset, n_copies, near, closest, scale: the KEPT nearest neighbours (squared distance, rep) of each point, those of them
     that are among its NEIGHBOURS nearest rows, and the distance within which so many other rows lie, copies counted.
 
     A vector of more copies than that gets the distance of its nearest other vector; a vector in a dataset of too few rows the
-    distance of its farthest neighbour. A vector that is alone in its dataset has no scale and no row.
+    distance of its farthest neighbour. A vector that is alone in its dataset has no scale and no row. ``units``: how many pairs of
+    blocks there are.
     """
-    units = points.select("dataset", "blocks").distinct().agg(F.coalesce(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2), F.lit(0))).first()[0]
     keys = ["dataset", "low", "high"]
     met = points.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("dataset", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "n_copies", "v")
@@ -226,11 +226,13 @@ def clusters(matrix: DataFrame, edges: DataFrame) -> DataFrame:
     rows = cut(latest_rows(matrix), "cluster-rows")
     doubles = cut(doubles_of(rows), "cluster-copies")
     # how many blocks a dataset has follows from its rows; a small table
-    sizes = rows.where("usable").groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    sizes = cut(rows.where("usable").groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")), "cluster-sizes")
+    units = sizes.agg(F.coalesce(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2), F.lit(0))).first()[0]
     points = cut(points_of(rows, doubles).join(sizes, "dataset").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "cluster-points")
-    denser = nearest_denser(points, cut(scales(points), "scales"))
+    denser = nearest_denser(points, cut(scales(points, units), "scales"))
     pointed = denser.select("rep", "dataset", "n_copies", "scale", "closest", F.when(F.col("delta") <= REACH * F.col("target"), F.col("to")).alias("to"), F.coalesce(F.try_divide("delta", "scale"), F.lit(float("inf"))).alias("apart"))
-    linked = follow(pointed, "rep", "to", "peak", ["dataset", "n_copies", "scale", "apart", "closest"])
+    pointed = cut(pointed, "pointers")
+    linked = cut(pointed.drop("to").join(follow(pointed, "rep", "to", "peak"), "rep"), "linked")
 
     own = F.col("n_copies") * F.least(F.lit(NEIGHBOURS), F.col("n_copies") - 1)
     trees = linked.groupBy("peak").agg(
@@ -247,7 +249,7 @@ def clusters(matrix: DataFrame, edges: DataFrame) -> DataFrame:
     owned = every.unionByName(doubles.where("row_id <> rep").join(every, "rep").select(F.col("row_id").alias("rep"), "dataset", "peak", "cluster_id", "scale", "size", "apart")).withColumnRenamed("rep", "row_id")
     heavy = heavy_edges(edges)
     # edges are counted only in the trees that need them
-    near = owned.where(F.col("apart") < APART).select("row_id", "peak", "size")
+    near = cut(owned.where(F.col("apart") < APART).select("row_id", "peak", "size"), "doubtful")
     inside = heavy.where("a < b").join(near.select(F.col("row_id").alias("a"), "peak", "size"), "a").join(near.select(F.col("row_id").alias("b"), F.col("peak").alias("pb")), "b").where("peak = pb")
     tied_trees = inside.groupBy("peak", "size").agg(F.count_distinct("a", "b").alias("ties")).where("ties >= size - 1").select("peak")
     held = owned.join(cut(tied_trees, "tied-trees").withColumn("_tied", F.lit(True)), "peak", "left").where((F.col("apart") >= APART) | F.col("_tied"))
@@ -258,7 +260,7 @@ def clusters(matrix: DataFrame, edges: DataFrame) -> DataFrame:
     alone = alone.join(rows.select("row_id", "dataset"), "row_id").select("row_id", "dataset", F.col("rep").alias("cluster_id"), F.lit(0.0).alias("scale"))
     members = cut(members.unionByName(alone), "members")
 
-    loose = rows.where("NOT usable").select(F.col("row_id").alias("a"), "dataset")
+    loose = cut(rows.where("NOT usable").select(F.col("row_id").alias("a"), "dataset"), "loose")
     tied = heavy.join(loose, ["a", "dataset"]).join(members.select(F.col("row_id").alias("b"), "dataset", "cluster_id"), ["b", "dataset"])
     edge = tied.groupBy("a", "dataset", "cluster_id", "b").agg(F.max("weight").alias("weight"))
     votes = edge.groupBy("a", "dataset", "cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).where(F.col("n") >= SEVERAL)
